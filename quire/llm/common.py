@@ -49,7 +49,7 @@ def write_file(uri: str, parts) -> int:
     store.create_dir(posixpath.dirname(path), recursive=True)
     hidden = posixpath.join(posixpath.dirname(path), f".{posixpath.basename(path)}.{uuid.uuid4().hex}")
     size = 0
-    with store.open_output_stream(hidden) as out:
+    with store.open_output_stream(hidden, compression=None) as out:
         for part in parts:
             out.write(part)
             size += len(part)

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, wavelet
+from quire.llm import bpe, packing, transport, warc, wavelet
 from quire.session import table
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.path_of("word_bpe_49k.json"), end_id=1)
+
+
+def op5_warc_histories(spark, sf_dir):
+    return warc.capture_histories(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_wavelet_shards(spark, sf_dir):
     return wavelet.token_shards(spark, table(spark, sf_dir, "documents"), bpe.path_of("byte_bpe_50k.json"), end_id=0)
 
 
+def op10_transport_streams(spark, sf_dir):
+    return transport.media_columns(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_warc_histories": op5_warc_histories,
     "op8_wavelet_shards": op8_wavelet_shards,
+    "op10_transport_streams": op10_transport_streams,
 }
 ORACLES: dict[str, str] = {}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, packing, transport, warc, wavelet
+from quire.llm import bpe, langid, packing, quality, transport, warc, wavelet
 from quire.session import table
 
 
+def op3_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), bpe.path_of("word_bpe_49k.json"), end_id=1)
 
@@ -18,14 +22,20 @@ def op8_wavelet_shards(spark, sf_dir):
     return wavelet.token_shards(spark, table(spark, sf_dir, "documents"), bpe.path_of("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_transport_streams(spark, sf_dir):
     return transport.media_columns(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_histories": op5_warc_histories,
     "op8_wavelet_shards": op8_wavelet_shards,
+    "op9_quality_rules": op9_quality_rules,
     "op10_transport_streams": op10_transport_streams,
 }
 ORACLES: dict[str, str] = {}

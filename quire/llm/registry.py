@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, langid, packing, quality, transport, warc, wavelet
+from quire.llm import bpe, langid, minhash, packing, quality, transport, warc, wavelet
 from quire.session import table
 
 
+def op1_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op3_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_transport_streams(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_histories": op5_warc_histories,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, langid, minhash, packing, quality, transport, warc, wavelet
+from quire.llm import bpe, langid, lines, minhash, packing, quality, transport, warc, wavelet
 from quire.session import table
 
 
@@ -22,6 +22,10 @@ def op5_warc_histories(spark, sf_dir):
     return warc.capture_histories(spark, table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return lines.line_report(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
 def op8_wavelet_shards(spark, sf_dir):
     return wavelet.token_shards(spark, table(spark, sf_dir, "documents"), bpe.path_of("byte_bpe_50k.json"), end_id=0)
 
@@ -39,8 +43,9 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_histories": op5_warc_histories,
+    "op7_line_dedup": op7_line_dedup,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_transport_streams": op10_transport_streams,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_line_dedup": lines.LINE_SQL}

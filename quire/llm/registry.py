@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, langid, lines, minhash, packing, quality, transport, warc, wavelet
+from quire.llm import bpe, decontaminate, langid, lines, minhash, packing, quality, transport, warc, wavelet
 from quire.session import table
 
 
@@ -10,6 +10,10 @@ def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op2_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_transport_streams(spark, sf_dir):
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_histories": op5_warc_histories,

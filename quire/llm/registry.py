@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, decontaminate, langid, lines, minhash, packing, quality, transport, warc, wavelet
+from quire.llm import bpe, decontaminate, langid, lines, lm, minhash, packing, quality, transport, warc, wavelet
 from quire.session import table
 
 
@@ -26,6 +26,10 @@ def op5_warc_histories(spark, sf_dir):
     return warc.capture_histories(spark, table(spark, sf_dir, "pages"))
 
 
+def op6_language_model(spark, sf_dir):
+    return lm.language_model(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return lines.line_report(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_histories": op5_warc_histories,
+    "op6_language_model": op6_language_model,
     "op7_line_dedup": op7_line_dedup,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_quality_rules": op9_quality_rules,

@@ -96,7 +96,7 @@ class Index:
         for t, (docs, impacts) in enumerate(zip(self.docs, self.impacts, strict=True)):
             for d, v in zip(docs, impacts, strict=True):
                 self.by_items[t, d // ITEM_BLOCK] = max(self.by_items[t, d // ITEM_BLOCK], v)
-        self.parts = [tuple(map(shingles, question_and_answer(text))) for _, _, text in kept]
+        self.parts = [(*map(shingles, question_and_answer(text)), shingles(w)) for _, w, text in kept]
 
     def search(self, terms: list[int], threshold: float, start: int = 0, end: int | None = None) -> list[tuple[int, float]]:
         """(item number, score) of every item from start to end (exclusive) of at least threshold, by block-max WAND over distinct terms."""
@@ -171,11 +171,8 @@ class Index:
             passage, own = None, own.tolist()
             for item, score in (x for b in near.tolist() for x in self.search(own, threshold, b * ITEM_BLOCK, (b + 1) * ITEM_BLOCK)):
                 passage = passage or shingles(w[j * stride : (j + 2) * stride])
-                q, a = self.parts[item]
-                in_q, in_a = self._covered(q, passage, w, j), self._covered(a, passage, w, j)
-                both = (in_q + in_a) / (len(q) + len(a))
-                in_q, in_a = in_q / len(q) if q else 1.0, in_a / len(a) if a else 1.0
-                if (both >= overlap or min(in_q, in_a) >= overlap) and score > found.get(item, (0, -1.0))[1]:
+                in_q, in_a, whole = (self._covered(part, passage, w, j) / len(part) if part else 1.0 for part in self.parts[item])
+                if (whole >= overlap or min(in_q, in_a) >= overlap) and score > found.get(item, (0, -1.0))[1]:
                     found[item] = (self.ids[item], score, int(j) * stride, in_q, in_a)
         return list(found.values())
 

@@ -6,8 +6,8 @@ them out. What remains is one Spark expression over STATISTICS, which are Spark
 so scoring runs no Python. Training is bounded: at most TRAIN labelled texts, chosen by a hash of doc_id.
 
 Defined results: a null text counts as empty and is scored like any other. Labels other than 0 and 1 are not
-learnt; a doc_id with several labels is learnt once for each. With no label, or with one class only, the
-score is the mean label (0.5 without any). Rows are kept one for one; a null doc_id counts as held out. Other
+learnt; a doc_id with several labels is learnt once for each. With no label, with one class only, or with
+too few texts to split, the score is the mean label (0.5 without any). Rows are kept one for one; a null doc_id counts as held out. Other
 columns are ignored.
 """
 
@@ -112,9 +112,10 @@ def _grow(x: np.ndarray, pull: np.ndarray, rows: np.ndarray, cuts: list[np.ndarr
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
     """Rules from boosted trees, weighted by an L1-penalised logistic regression (accelerated proximal gradient)."""
+    mean = float(y.mean()) if len(y) else 0.5
+    constant = Model(names, [], float(np.log((mean + 1e-3) / (1 - mean + 1e-3))))
     if not len(y) or y.min() == y.max():
-        mean = float(y.mean()) if len(y) else 0.5
-        return Model(names, [], float(np.log((mean + 1e-3) / (1 - mean + 1e-3))))
+        return constant
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.01, 0.99, 60), method="lower"))[:-1] for j in range(x.shape[1])]
     cuts = [np.unique(np.concatenate([c, [x[:, j].min()]])) if x[:, j].min() < x[:, j].max() else c[:0] for j, c in enumerate(cuts)]
     paths: list[tuple] = []
@@ -122,11 +123,13 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
     for _ in range(TREES):
         _grow(x, (y - 1 / (1 + np.exp(-z))) * 4, np.arange(len(y)), cuts, (), DEPTH, paths, z)
     rules = [Rule(p) for p in dict.fromkeys(paths)]
+    if not rules:  # too few texts to split
+        return constant
     a = np.stack([r.holds(x) for r in rules], 1).astype(float)
     keep = np.unique(a, axis=1, return_index=True)[1]  # rules that hold for the same rows count once
     rules, a = [rules[i] for i in sorted(keep)], a[:, sorted(keep)]
-    mean = a.mean(0)
-    b = a - mean
+    centre = a.mean(0)
+    b = a - centre
     step = 4 * len(y) / (np.linalg.norm(b, 2) ** 2 + len(y))
     w = v = np.zeros(b.shape[1])
     bias = old = float(np.log(y.mean() / (1 - y.mean())))
@@ -140,7 +143,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
         v, u = new + (was - 1) / t * (new - w), bias + (was - 1) / t * (bias - old)
         w, old = new, bias
     kept = [Rule(r.bounds, float(c)) for r, c in zip(rules, w, strict=True) if c]
-    return Model(names, kept, float(bias - mean @ w))
+    return Model(names, kept, float(bias - centre @ w))
 
 
 def train(docs: DataFrame, labels: DataFrame, n: int = 3, held_out: int = 1, rows: int = TRAIN) -> Model:

@@ -123,9 +123,10 @@ class WaveletMatrix:
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of token at positions lo to hi (exclusive)."""
-        if token < 0 or token >> self.bits:
+        lo, hi = max(lo, 0), self.n if hi is None else min(hi, self.n)
+        if token < 0 or token >> self.bits or lo >= hi:
             return 0
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        a, b = self._range(token, lo, hi)
         return b - a
 
     def occurrence(self, token: int, r: int) -> int:

@@ -13,10 +13,11 @@ import re
 import struct
 from functools import lru_cache
 
-MAX_ENTRIES = 250_000
+MAX_ENTRIES = 500_000
 MAX_PIECE = 80
 
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+_ENDS = tuple(".,;:!?")
 _CUT = re.compile(r" (?=\S)")
 _TWO = re.compile(r"\s\s")
 
@@ -34,10 +35,14 @@ class _Words(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.model = tokenizer.model
-        self.letters = dict(enumerate(_byte_letters()))
+        self.letters = {b: chr(c) for b, c in enumerate(_byte_letters())}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        if word.isascii() and word.isprintable():
+            shown = word.replace(" ", self.letters[32])
+        else:
+            shown = word.encode().decode("latin-1").translate(self.letters)
+        found = self.model.tokenize(shown)
         out = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         if len(self) >= MAX_ENTRIES:
             self.clear()
@@ -54,7 +59,7 @@ class _Pieces(dict):
         self.owner, self.lead = owner, lead
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.owner.encode_piece(self.lead + piece)
+        out = self.owner.encode_piece(self.lead, piece)
         if len(self) >= MAX_ENTRIES:
             self.clear()
         if len(piece) <= MAX_PIECE:
@@ -82,7 +87,12 @@ class Bpe:
         self.first = _Pieces(self, "")
         self.later = _Pieces(self, " ") if self.spaced else self.first
 
-    def encode_piece(self, piece: str) -> bytes:
+    def encode_piece(self, lead: str, piece: str) -> bytes:
+        body, end = (piece[:-1], piece[-1]) if piece[-1:] in _ENDS else (piece, "")
+        if body.isalpha() and (body.isascii() or _PLAIN.fullmatch(body)):  # one word, and one sign at most
+            out = self.words[lead + body if self.spaced else body.lower()]
+            return out + self.words[end] if end else out
+        piece = lead + piece
         if _PLAIN.fullmatch(piece):
             return b"".join(map(self.words.__getitem__, self.words_in(piece if self.spaced else piece.lower())))
         ids = self.whole.encode(piece, add_special_tokens=False).ids

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import written
+
 
 def undeclared(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of left whose key right does not have."""
@@ -36,14 +38,14 @@ def fallback_end(items: DataFrame, core: list[str], hops: int = 32) -> DataFrame
     """items(package, id, media_type, fallback) -> package, id, end: the first item of a core type along the fallbacks, null if none within `hops`.
 
     Pointer doubling: each step joins every open chain with the chain it has reached, so 32 hops take six
-    joins, and a cycle ends with the hops.
+    joins, and a cycle ends with the hops. Each step is written, as a plan of all steps would scan items 64 times.
     """
-    now = items.select("package", "id", F.when(F.col("media_type").isin(core), F.col("id")).alias("end"), F.when(~F.col("media_type").isin(core), F.col("fallback")).alias("next"), F.lit(1).alias("span"))
+    now = items.select("package", "id", F.when(F.col("media_type").isin(core), F.col("id")).alias("end"), F.when(~F.col("media_type").isin(core), F.col("fallback")).alias("next"))
     reach = 1
     while reach <= hops:
         ahead = now.select(F.col("package").alias("p"), F.col("id").alias("i"), F.col("end").alias("e"), F.col("next").alias("n"))
         met = now.join(ahead, (F.col("package") == F.col("p")) & (F.col("next") == F.col("i")), "left")
-        now = met.select("package", "id", F.coalesce("end", "e").alias("end"), F.when(F.col("end").isNull() & F.col("e").isNull(), F.col("n")).alias("next"), "span")
+        now = written(met.select("package", "id", F.coalesce("end", "e").alias("end"), F.when(F.col("end").isNull() & F.col("e").isNull(), F.col("n")).alias("next")), "fallbacks")
         reach *= 2
     return now.select("package", "id", "end")
 

@@ -162,7 +162,10 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of docs(text, ...), and the score."""
     stats = {k: f"_quire_{k}" for k in model.names}
     out = docs.select("*", *[c.alias(stats[k]) for k, c in statistics(F.col("text")).items()])
-    return out.select(*[docs[c] for c in docs.columns], model.column({k: F.col(v) for k, v in stats.items()}).alias(name))
+    scored = out.select(*[docs[c] for c in docs.columns], model.column({k: F.col(v) for k, v in stats.items()}).alias("_quire_value"))
+    # The score comes out of a one-row generator: a filter on it would otherwise be pushed below the
+    # statistics, where each mention of a statistic computes it again.
+    return scored.select(*[docs[c] for c in docs.columns], F.inline(F.array(F.struct(F.col("_quire_value").alias(name)))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, n: int = 3, held_out: int = 1) -> DataFrame:

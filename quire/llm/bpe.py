@@ -13,7 +13,7 @@ import re
 import struct
 from functools import lru_cache
 
-MAX_ENTRIES = 500_000
+MAX_WORDS, MAX_PIECES = 600_000, 300_000  # entries: a word costs more to encode again than a piece
 MAX_PIECE = 80
 
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -44,7 +44,7 @@ class _Words(dict):
             shown = word.encode().decode("latin-1").translate(self.letters)
         found = self.model.tokenize(shown)
         out = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-        if len(self) >= MAX_ENTRIES:
+        if len(self) >= MAX_WORDS:
             self.clear()
         if len(word) <= MAX_PIECE:
             self[word] = out
@@ -60,7 +60,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         out = self.owner.encode_piece(self.lead, piece)
-        if len(self) >= MAX_ENTRIES:
+        if len(self) >= MAX_PIECES:
             self.clear()
         if len(piece) <= MAX_PIECE:
             self[piece] = out

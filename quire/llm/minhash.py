@@ -30,24 +30,13 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import stored
 from quire.llm.graph import components
+from quire.llm.words import HASHES
 
 SIDE, ROWS = 20, 4
 BLOCK = 256
-MAX_WORDS = 500_000  # words whose hashes a worker remembers
 SENT_ROWS = 1_000_000  # candidates up to which their ids are broadcast (16 MB); beyond it they are joined by shuffle
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        out = self[word] = xxh64_intdigest(word)
-        return out
-
-
-_WORDS = _Hashes()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Odd multipliers of the minima, from a fixed seed.
 _FUNCTIONS = np.random.default_rng(20).integers(0, 1 << 31, 2 * SIDE * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -65,7 +54,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     width = min(k, len(h))
     s = np.full(len(h) - width + 1, width, np.uint64)
     for j in range(width):

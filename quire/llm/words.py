@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
 
 
 class _Hashes(dict):

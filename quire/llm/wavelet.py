@@ -34,11 +34,11 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     """Bit-planes as booleans from the highest bit, and the zeros in each."""
     planes, zeros, a = [], [], ids
     for k in range(bits - 1, -1, -1):
-        ones = (a >> k & 1).astype(bool)
+        ones = (a & a.dtype.type(1 << k)) != 0
         planes.append(ones)
-        low = a[~ones]
-        zeros.append(len(low))
-        a = np.concatenate([low, a[ones]])
+        zeros.append(len(a) - int(np.count_nonzero(ones)))
+        if k:
+            a = np.concatenate([a[~ones], a[ones]]) if 0 < zeros[-1] < len(a) else a
     return planes, zeros
 
 
@@ -144,10 +144,9 @@ class WaveletMatrix:
         a = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in range(self.bits - 1, -1, -1):
             ones = np.concatenate([self.block(k, j) for j in range(len(self.ends[k]))] or [np.zeros(0, bool)])
+            a[self.zeros[k] :] |= a.dtype.type(1 << self.bits - 1 - k)
             up = np.empty_like(a)
-            up[~ones] = a[: self.zeros[k]]
-            up[ones] = a[self.zeros[k] :]
-            up |= ones.astype(a.dtype) << a.dtype.type(self.bits - 1 - k)
+            up[~ones], up[ones] = a[: self.zeros[k]], a[self.zeros[k] :]
             a = up
         return a
 

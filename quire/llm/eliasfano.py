@@ -12,6 +12,7 @@ import struct
 import numpy as np
 
 _U = np.uint64
+_BYTES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
 #: position of the r-th set bit (from 0) of a byte
 _SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
 
@@ -53,24 +54,34 @@ class Sequence:
         up = np.where(shift > 0, self.lower[word + 1] << (_U(64) - shift) % _U(64), _U(0))
         return (self.lower[word] >> shift | up) & _U((1 << self.bits) - 1)
 
+    @staticmethod
+    def _select(words: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The place of each word's left-th set bit (from 0), by sums of bytes inside the word."""
+        x = words - (words >> _U(1) & _U(0x5555555555555555))
+        x = (x & _U(0x3333333333333333)) + (x >> _U(2) & _U(0x3333333333333333))
+        upto = (x + (x >> _U(4)) & _U(0x0F0F0F0F0F0F0F0F)) * _BYTES  # byte i: set bits of bytes 0 to i
+        left = left.astype(_U)
+        shift = np.bitwise_count((left * _BYTES | _TOPS) - upto & _TOPS).astype(_U) << _U(3)
+        before = (upto << _U(8)) >> shift & _U(255)
+        return shift.astype(np.int64) + _SELECT[(words >> shift & _U(255)).astype(np.int64), (left - before).astype(np.int64)]
+
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Positions of the k-th zeros (from 0) of the high part."""
         word = np.searchsorted(self.zeros, k, "right") - 1
-        left = (k - self.zeros[word]).astype(np.int64)
-        octets = (~self.upper[word]).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(octets), 1, dtype=np.int64)
-        octet = (upto <= left[:, None]).sum(1)
-        row = np.arange(len(k))
-        before = np.where(octet > 0, upto[row, np.maximum(octet, 1) - 1], 0)
-        return word * 64 + octet * 8 + _SELECT[octets[row, octet], left - before]
+        return word * 64 + self._select(~self.upper[word], k - self.zeros[word])
+
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values with each high part begin and end."""
+        end = self._zero(high) - high.astype(np.int64)
+        return np.where(high > 0, self._zero(np.maximum(high, _U(1)) - _U(1)) - high.astype(np.int64) + 1, 0), end
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """For each x the index of the first value that is not smaller (n if there is none). Sorted x are fastest."""
         x = x.astype(_U)
-        high, low = x >> _U(self.bits), x & _U((1 << self.bits) - 1)
-        end = self._zero(high) - high.astype(np.int64)
-        start = np.where(high > 0, self._zero(np.maximum(high, _U(1)) - _U(1)) - high.astype(np.int64) + 1, 0)
-        lo, hi = start, end
+        return self._within(*self._bucket(x >> _U(self.bits)), x & _U((1 << self.bits) - 1))
+
+    def _within(self, lo: np.ndarray, hi: np.ndarray, low: np.ndarray) -> np.ndarray:
+        lo, hi = lo.copy(), hi.copy()
         while len(open_ := np.flatnonzero(lo < hi)):
             mid = (lo[open_] + hi[open_]) // 2
             less = self._low(mid) < low[open_]
@@ -80,14 +91,9 @@ class Sequence:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values by index."""
-        word = np.searchsorted(np.arange(1, len(self.zeros) + 1) * 64 - np.append(self.zeros[1:], self.zeros[-1] + _U(64) - _U(np.bitwise_count(self.upper[-1]))).astype(np.int64), i, "right")
-        left = i - (word * 64 - self.zeros[word].astype(np.int64))
-        octets = self.upper[word].view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(octets), 1, dtype=np.int64)
-        octet = (upto <= left[:, None]).sum(1)
-        row = np.arange(len(i))
-        before = np.where(octet > 0, upto[row, np.maximum(octet, 1) - 1], 0)
-        position = word * 64 + octet * 8 + _SELECT[octets[row, octet], left - before]
+        ones = np.arange(1, len(self.zeros) + 1) * 64 - np.append(self.zeros[1:], self.zeros[-1] + _U(64) - _U(np.bitwise_count(self.upper[-1]))).astype(np.int64)
+        word = np.searchsorted(ones, i, "right")
+        position = word * 64 + self._select(self.upper[word], i - (word * 64 - self.zeros[word].astype(np.int64)))
         return (position - i).astype(_U) << _U(self.bits) | self._low(i)
 
     def find(self, x: np.ndarray, universe: int) -> np.ndarray:
@@ -96,10 +102,10 @@ class Sequence:
             return np.full(len(x), -1, np.int64)
         within = x.astype(_U) < _U(universe)
         y = np.where(within, x, 0).astype(_U)
-        i = self.successor(y)
+        high, low = y >> _U(self.bits), y & _U((1 << self.bits) - 1)
+        start, end = self._bucket(high)
+        i = self._within(start, end, low)
         at = np.minimum(i, self.n - 1)
-        same = (i < self.n) & within & (self._low(at) == (y & _U((1 << self.bits) - 1)))
+        same = (i < self.n) & within & (self._low(at) == low)
         # Inside its own bucket an index has its own high part, so equal low bits mean an equal value.
-        high = y >> _U(self.bits)
-        end = self._zero(high) - high.astype(np.int64)
         return np.where(same & (i < end), i, -1)

@@ -4,16 +4,19 @@ Level 1 holds the words: their 64-bit hashes (63 bits kept) as an Elias-Fano seq
 rank, and running totals of their counts as another. Level 2 holds pairs: a shard's contexts, pointers to
 where each one's successors begin, and the successors as `context * V + word id`, all monotone and in
 Elias-Fano form, with one byte a pair for its smoothed probability. A pair is looked up by a successor
-search relative to its context.
+search relative to its context. Level 3 (order 3) lies in its pairs' shards: running totals of the pairs'
+counts, and the successors as `pair's place * V + word id`, with one byte each. A pair at a text's end has none.
 
 A pair's probability is c(uv) / (c(u) + PRIOR), quantised, plus PRIOR / (c(u) + PRIOR) times the word's own:
 (c - d) / N for a known word, with the mass d * V / N of all unknown words for an unknown one; d is set by
-how many words occur once and twice. The order is 2.
+how many words occur once and twice. After a pair that was seen, order 3 adds c(uvw) / (c(uv) + PRIOR),
+quantised, to PRIOR / (c(uv) + PRIOR) times that. op6 has order 3.
 
 Levels are cut into as many shards as spark.sql.shuffle.partitions says, each counted and built by one task
 from counts that were added up before the shuffle. Words go to shards by hash. Pairs go by context; a
 context with more than a shard's share of tokens is cut by successor into as many parts as it has shares, so
 no word fills a shard. The number of parts follows from the context's count, so a look-up needs no table.
+Level 3 is counted with level 2, in one pass; the successors of one pair stay together.
 
 Words are runs without ASCII white space, A-Z lower-cased; each text has an end token. Defined results: null
 and empty texts are the end token alone. A null doc_id counts as held out and is not learnt. Rows are kept
@@ -40,6 +43,7 @@ PRIOR = 5.0
 HASHED = 1 << 63
 START, END = (int(HASHES[w]) >> 1 for w in (b"  ", b" "))  # no word holds a space
 TOKENS = 1_000_000  # of a batch that is scored or counted at once
+CUTS = 8  # parts into which order 3 cuts a shard's share of a frequent context, so that shards are alike
 PENDING = 3_000_000  # distinct counts that a task holds before it passes them on
 
 
@@ -70,7 +74,7 @@ def pairs_of(u: np.ndarray, v: np.ndarray, n: np.ndarray | None = None) -> tuple
     if not len(u):
         return u, v, np.zeros(0, np.int64), np.zeros(0, np.int64)
     if max(int(u.max()), int(v.max())) < 1 << 32:
-        order = np.argsort(u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64), kind="stable")
+        order = np.argsort(u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64))
     else:
         order = np.lexsort((v, u))
     a, b = u[order], v[order]
@@ -89,7 +93,7 @@ def _mapped(uri: str) -> np.ndarray:
     from pyarrow.fs import LocalFileSystem
 
     store, path = files_of(uri)
-    return np.memmap(path, np.uint8, "r") if isinstance(store, LocalFileSystem) else np.frombuffer(read_file(uri), np.uint8)
+    return np.memmap(path, np.uint8, "r").view(np.ndarray) if isinstance(store, LocalFileSystem) else np.frombuffer(read_file(uri), np.uint8)
 
 
 @lru_cache(maxsize=4096)
@@ -111,6 +115,7 @@ class Words:
     total: int  # N
     docs: int
     discount: float
+    cuts: int = 1  # parts a share of a frequent context
 
     def __post_init__(self):
         self.base = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -155,13 +160,18 @@ class Words:
         return np.where(counts > 0, counts - self.discount, self.discount * self.count) / self.total
 
     def pair_shard(self, u: np.ndarray, v: np.ndarray, count_u: np.ndarray) -> np.ndarray:
-        parts = np.maximum(1, -(-count_u * self.shards // self.total))
+        parts = np.maximum(1, -(-count_u * self.shards * self.cuts // self.total))
         return ((u * 2654435761 & 0xFFFFFFFF) + v * parts // max(self.count, 1)) % self.shards
 
 
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    """A stable order by shard; narrow numbers are sorted by digits."""
+    return np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
+
+
 def _rows(shard: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     """A row for each shard, with its part of the columns as bytes."""
-    order = np.argsort(shard, kind="stable")
+    order = _by_shard(shard)
     shard = shard[order]
     first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
     edges = np.append(first, len(shard))
@@ -178,7 +188,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], types: list[str]) -> Iterator[t
                 if held:
                     yield shard, [np.concatenate([x[i] for x in held]) for i in range(len(types))]
                 shard, held = s.as_py(), []
-            held.append([np.frombuffer(x.as_py(), t) for x, t in zip(rest, types, strict=True)])
+            held.append([np.frombuffer(x.as_buffer(), t) for x, t in zip(rest, types, strict=True)])
     if held:
         yield shard, [np.concatenate([x[i] for x in held]) for i in range(len(types))]
 
@@ -231,54 +241,85 @@ def _known(words: Words, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return ids, counts, before, before_counts, ends
 
 
-def count_pairs(texts: DataFrame, words: Words) -> None:
-    """Level 2 of texts(text), written beside level 1; words learns which shards have pairs."""
+def _shares(share: np.ndarray) -> list[bytes]:
+    """Logarithms of probabilities as a step and one byte each."""
+    step = max(-float(share.min(initial=0.0)) / 255, 1e-9)
+    return [np.float64(step).tobytes(), np.minimum(np.round(-share / step), 255).astype(np.uint8).tobytes()]
+
+
+def _share(tail: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return 10.0 ** (-float(tail[:8].view("<f8")[0]) * tail[8:][at])
+
+
+def count_pairs(texts: DataFrame, words: Words, order: int = 2) -> None:
+    """Level 2 of texts(text) and, in order 3, level 3, written beside level 1; words learns which shards have pairs."""
+    narrow = "<u4" if words.count < 1 << 32 else "<i8"
+    pending = PENDING * 2 // order
+    if order > 2:
+        words.cuts = CUTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = v = n = c = np.zeros(0, np.int64)
+        held_rows = [np.zeros(0, np.int64)] * 5
         for _, held in by_tokens(batches):
-            ids, _, before, counts, _ = _known(words, held)
-            a, b, m, inverse = pairs_of(before, ids)
-            own = np.zeros(len(a), np.int64)
+            ids, _, before, counts, ends = _known(words, held)
+            u, v, n, inverse = pairs_of(before, ids)
+            own = np.zeros(len(u), np.int64)
             own[inverse] = counts
-            u, v, n, c = (np.concatenate(x) for x in ((u, a), (v, b), (n, m), (c, own)))
-            if len(u) > PENDING:
-                yield passed(u, v, n, c)
-                u = v = n = c = np.zeros(0, np.int64)
-        if len(u):
-            yield passed(u, v, n, c)
-
-    def passed(u: np.ndarray, v: np.ndarray, n: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        shard = words.pair_shard(u, v, c)
-        a, b, m, _ = pairs_of(u, v, n)
-        order = np.lexsort((v, u))
-        first = np.append(True, (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1]))
+            w = np.full(len(u), words.count)  # V: no word, after the end of a text and in order 2
+            if order > 2:
+                after = np.roll(ids, -1)
+                after[ends - 1] = words.count
+                at, w, n, _ = pairs_of(inverse, after)
+                u, v, own = u[at], v[at], own[at]
+            held_rows = [np.concatenate(x) for x in zip(held_rows, (u, v, w, n, own), strict=True)]
+            if len(held_rows[0]) > pending:
+                yield passed(*held_rows)
+                held_rows = [np.zeros(0, np.int64)] * 5
+        if len(held_rows[0]):
+            yield passed(*held_rows)
+
+    def passed(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        u, v, _, inverse = pairs_of(u, v)
+        own = np.zeros(len(u), np.int64)
+        own[inverse] = c
+        at, w, n, _ = pairs_of(inverse, w, n)
         # Small numbers in narrow columns: the shuffle compresses them.
-        return _rows(shard[order][first], u=a, v=b, n=m)
+        return _rows(words.pair_shard(u, v, own)[at], u=u.astype(narrow)[at], v=v.astype(narrow)[at], w=w.astype(narrow), n=n)
+
+    def write_pairs(shard: int, u: np.ndarray, v: np.ndarray, totals: np.ndarray) -> None:
+        contexts, begin, at = np.unique(u, return_index=True, return_inverse=True)
+        share = np.log10(totals / (words.counts(contexts)[at] + PRIOR))
+        parts = [encode(contexts, words.count + 1), encode(np.append(begin, len(u)), len(u) + 1), encode(at * words.count + v, len(contexts) * words.count)]
+        write_file(f"{words.folder}/pairs-{shard:06d}.ef", [*parts, *_shares(share)])
+
+    def write_triples(shard: int, at: np.ndarray, w: np.ndarray, n: np.ndarray, totals: np.ndarray) -> None:
+        tail = _shares(np.log10(n / (totals[at] + PRIOR)))
+        at = at * words.count + w
+        parts = [encode(np.append(0, np.cumsum(totals)), int(totals.sum()) + 1), encode(at, len(totals) * words.count)]
+        write_file(f"{words.folder}/triples-{shard:06d}.ef", [*parts, *tail])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, (u, v, n) in _gathered(batches, ["<i8", "<i8", "<i8"]):
-            u, v, n, _ = pairs_of(u, v, n)
-            contexts, begin, at = np.unique(u, return_index=True, return_inverse=True)
-            share = np.log10(n / (words.counts(contexts)[at] + PRIOR))
-            step = max(-float(share.min()) / 255, 1e-9)
-            quantised = np.minimum(np.round(-share / step), 255).astype(np.uint8)
-            universe = len(contexts) * words.count
-            parts = [encode(contexts, words.count + 1), encode(np.append(begin, len(u)), len(u) + 1), encode(at * words.count + v, universe)]
-            write_file(f"{words.folder}/pairs-{shard:06d}.ef", [*parts, np.float64(step).tobytes(), quantised.tobytes()])
+        for shard, (u, v, w, n) in _gathered(batches, [narrow, narrow, narrow, "<i8"]):
+            u, v, _, pair = pairs_of(u, v)
+            totals = np.bincount(pair, n, len(u)).astype(np.int64)
+            inside = np.flatnonzero(w < words.count)
+            pair, w, n = pair[inside], w[inside], n[inside]
+            write_pairs(shard, u.astype(np.int64), v.astype(np.int64), totals)
+            if order > 2:
+                write_triples(shard, *pairs_of(pair, w, n)[:3], totals)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "pairs": [len(u)]})
 
-    counted = texts.select("text").mapInArrow(count, "shard int, u binary, v binary, n binary")
-    made = counted.repartition(words.shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, pairs long")
+    counted = texts.select("text").mapInArrow(count, "shard int, u binary, v binary, w binary, n binary")
+    made = counted.repartitionById(words.shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, pairs long")
     for r in stored(made, "lm-pairs").collect():  # a row for each shard
         words.pairs[r["shard"]] = r["pairs"]
 
 
-def pair_shares(words: Words, u: np.ndarray, v: np.ndarray, count_u: np.ndarray) -> np.ndarray:
-    """The quantised part of each distinct pair's probability, 0 where the pair was not seen."""
-    out = np.zeros(len(u))
+def pair_shares(words: Words, u: np.ndarray, v: np.ndarray, count_u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct pair: the quantised part of its probability (0 where it was not seen), its shard, and its place there (-1)."""
+    out, place = np.zeros(len(u)), np.full(len(u), -1, np.int64)
     shard = words.pair_shard(u, v, count_u)
-    order = np.argsort(shard, kind="stable")
+    order = _by_shard(shard)
     edges = np.searchsorted(shard[order], np.arange(words.shards + 1))
     for s in range(words.shards):
         rows = order[edges[s] : edges[s + 1]]
@@ -292,12 +333,30 @@ def pair_shares(words: Words, u: np.ndarray, v: np.ndarray, count_u: np.ndarray)
         seen = np.flatnonzero(i >= 0)
         j = successors.find(i[seen] * words.count + v[rows[seen]], contexts.n * words.count)
         inside = (j >= 0) & (j >= begin[seen].astype(np.int64)) & (j < end[seen].astype(np.int64))
-        step = float(tail[:8].view("<f8")[0])
-        out[rows[seen[inside]]] = 10.0 ** (-step * tail[8:][j[inside]])
-    return out
+        place[rows[seen[inside]]] = j[inside]
+        out[rows[seen[inside]]] = _share(tail, j[inside])
+    return out, shard, place
+
+
+def triple_shares(words: Words, shard: np.ndarray, place: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of seen pairs, by shard and place, each with a word (-1 unknown): the quantised part of its probability after the pair, and the pair's count."""
+    out, counts = np.zeros(len(w)), np.zeros(len(w), np.int64)
+    order = _by_shard(shard)
+    edges = np.searchsorted(shard[order], np.arange(words.shards + 1))
+    for s in range(words.shards):
+        rows = order[edges[s] : edges[s + 1]]
+        if not len(rows):
+            continue
+        (totals, successors), tail = _sequences(f"{words.folder}/triples-{s:06d}.ef", 2)
+        own, at = np.unique(place[rows], return_inverse=True)
+        counts[rows] = (totals.get(own + 1) - totals.get(own)).astype(np.int64)[at]
+        known = rows[w[rows] >= 0]
+        j = successors.find(place[known] * words.count + w[known], int(words.pairs[s]) * words.count)
+        out[known[j >= 0]] = _share(tail, j[j >= 0])
+    return out, counts
 
 
-def scored(docs: DataFrame, words: Words) -> DataFrame:
+def scored(docs: DataFrame, words: Words, order: int = 2) -> DataFrame:
     """docs(doc_id, held_out, text) -> n_tokens, n_known, base_score and score of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -313,7 +372,17 @@ def scored(docs: DataFrame, words: Words) -> DataFrame:
                 u, v, _, inverse = pairs_of(before[both], ids[both])
                 own = np.zeros(len(u), np.int64)
                 own[inverse] = before_counts[both]
-                p[both] += pair_shares(words, u, v, own)[inverse]
+                share, shard, place = pair_shares(words, u, v, own)
+                p[both] += share[inverse]
+                if order > 2:
+                    pair = np.full(len(ids), -1, np.int64)
+                    pair[both] = np.where(place >= 0, np.arange(len(u)), -1)[inverse]
+                    pair = np.roll(pair, 1)
+                    pair[np.append(0, ends[:-1])] = -1
+                    after = np.flatnonzero(pair >= 0)
+                    at, w, _, inverse = pairs_of(pair[after], ids[after] + 1)  # 0: unknown
+                    share, total = triple_shares(words, shard[at], place[at], w - 1)
+                    p[after] = p[after] * (PRIOR / (total + PRIOR))[inverse] + share[inverse]
                 sums = lambda x: np.add.reduceat(x, np.append(0, ends[:-1]))
                 columns = [sums((counts > 0).astype(np.int64)), sums(base), sums(np.log10(p))]
             else:
@@ -324,12 +393,12 @@ def scored(docs: DataFrame, words: Words) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def language_model(spark: SparkSession, docs: DataFrame, n: int = 7, held_out: int = 2) -> DataFrame:
-    """docs(doc_id, text) -> scores of every row, learnt from rows whose crc32(doc_id) mod n is not held_out."""
+def language_model(spark: SparkSession, docs: DataFrame, n: int = 7, held_out: int = 2, order: int = 2) -> DataFrame:
+    """docs(doc_id, text) -> scores of every row in order 2 or 3, learnt from rows whose crc32(doc_id) mod n is not held_out."""
     held = F.coalesce(split_of(F.col("doc_id").cast("long"), n) == held_out, F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = count_words(rows.where("not held_out"), shared_dir(spark, "lm"), shards)
     if words.total:
-        count_pairs(rows.where("not held_out"), words)
-    return scored(rows, words).withColumn("train_tokens", F.lit(words.total).cast("long"))
+        count_pairs(rows.where("not held_out"), words, order)
+    return scored(rows, words, order).withColumn("train_tokens", F.lit(words.total).cast("long"))

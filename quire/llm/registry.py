@@ -27,7 +27,7 @@ def op5_warc_histories(spark, sf_dir):
 
 
 def op6_language_model(spark, sf_dir):
-    return lm.language_model(spark, table(spark, sf_dir, "documents"))
+    return lm.language_model(spark, table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_line_dedup(spark, sf_dir):

@@ -48,6 +48,46 @@ def test_language_model_equals_brute_force(spark):
         assert r.score == pytest.approx(score, abs=0.02 * len(t))
 
 
+def test_language_model_of_order_3_equals_brute_force(spark, monkeypatch):
+    data = [(r[0], r[1]) for r in rows()]
+    words = lambda t: [*(t or "").encode().lower().split(), b"</s>"]
+    learnt = [words(t) for i, t in data if i is not None and crc(i, 7) != 2]
+    c, starts = Counter(w for t in learnt for w in t), [[b"<s>", *t] for t in learnt]
+    pairs, triples = (Counter(tuple(t[i : i + k]) for t in starts for i in range(len(t) - k + 1)) for k in (2, 3))
+    n, v, context = sum(c.values()), len(c), dict(c) | {b"<s>": len(learnt)}
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = once / (once + 2 * twice)
+    got = lm.language_model(spark, documents(spark), order=3).collect()
+    by, deeper = dict(data), 0
+    assert len(got) == len(data)
+    for r in got:
+        t, score = [b"<s>", *words(by[r.doc_id])], 0.0
+        for i in range(1, len(t)):
+            p = (c[t[i]] - d) / n if t[i] in c else d * v / n
+            for k, seen, above in ((1, context, pairs), (2, pairs, triples)):
+                before = tuple(t[i - k : i]) if i >= k else None
+                before = before[0] if k == 1 else before
+                if before in seen:
+                    p = (p * lm.PRIOR + above[tuple(t[i - k : i + 1])]) / (seen[before] + lm.PRIOR)
+                    deeper += k == 2
+            score += math.log10(p)
+        assert r.score == pytest.approx(score, abs=0.02 * (len(t) - 1))
+    assert deeper > 1000
+    monkeypatch.setattr(lm, "PENDING", 100)
+    again = {(r.doc_id, r.n_tokens): r.score for r in lm.language_model(spark, documents(spark), order=3).collect()}
+    assert all(again[r.doc_id, r.n_tokens] == pytest.approx(r.score) for r in got)
+
+
+def test_registered_language_model_has_order_3(spark, monkeypatch):
+    from quire.llm import registry
+
+    data = [(i, "a b c" if i % 2 else "d b e") for i in range(100)] + [(i, "a b c" if i % 2 else "a b e") for i in range(1000, 1200)]
+    docs = spark.createDataFrame([x for x in data if x[0] < 100 or crc(x[0], 7) == 2], "doc_id long, text string")
+    monkeypatch.setattr(registry, "table", lambda *_: docs)
+    score = {i: r.score for r in registry.op6_language_model(spark, "").collect() for i in [dict(data)[r.doc_id]] if r.doc_id >= 1000}
+    assert score["a b c"] > score["a b e"] + 0.5  # after one word, c and e are equally frequent
+
+
 def test_language_model_without_training(spark):
     assert lm.language_model(spark, empty(spark)).count() == 0
     only = spark.createDataFrame([(None, "a b")], "doc_id long, text string")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quire.functions.paths import css_errors, resolved, url_errors
 from quire.functions.scalars import language_tag_error, normal_space, sniffed_type
 from quire.operators.findings import SEVERITIES, ordered
+from quire.operators.jpegs import jpeg_of
 from quire.operators.links import fallback_end, reference_status
 from quire.session import written
 from quire.sources import packages as P
@@ -30,6 +31,7 @@ CODES = {
         "PKG-003", "PKG-005", "PKG-006", "PKG-007", "PKG-009", "PKG-011", "PKG-021", "RSC-001", "RSC-003", "RSC-005", "RSC-007", "RSC-008", "RSC-011", "RSC-020", "RSC-026",
         "OPF-007c", "OPF-012", "OPF-014", "OPF-015", "OPF-027", "OPF-028", "OPF-029", "OPF-030", "OPF-043", "OPF-049", "OPF-074", "OPF-092",
         "HTM-046", "HTM-047", "HTM_056", "HTM_057", "HTM_059", "CSS-008", "LB-001", "LB-002", "LB-003", "LB-004",
+        "LB-010", "LB-011", "LB-012", "LB-013", "LB-014", "LB-015",
     ),
 }
 #: Namespaces, vocabularies, media types, and where references stand.
@@ -353,8 +355,41 @@ def check(packages: DataFrame) -> DataFrame:
     return ordered(rows.withColumn("emit_seq", F.xxhash64("code", "detail")), "package_id").drop("emit_seq")
 
 
-def strict(packages: DataFrame) -> DataFrame:
-    """Rules for packages that this engine writes: storage of `mimetype`, clean metadata, nothing unlisted in the archive."""
+def page_rules(t: Tables, expected: DataFrame) -> list[DataFrame]:
+    """Pages against expected(package_id, pages, canvas_w, canvas_h, grayscale) and against their images; a null expects nothing.
+
+    LB-013 and LB-015 also hold for packages that expected does not name. Of several viewports or images of a page the last counts.
+    """
+    want = expected.select(F.col("package_id").cast("string").alias("package_id"), "pages", "canvas_w", "canvas_h", "grayscale")
+    x = t.opf.where("pre >= 0")
+    root = x.where("depth = 0")
+    meta = children(x, children(x, root, "metadata"), "meta").where(attr("name") == "original-resolution")
+    books = root.select(*DOC, "line", "col").join(want, "package_id")
+    books = books.join(t.spine.groupBy(*DOC).agg(F.count("*").alias("n")), DOC, "left").join(meta.groupBy(*DOC).agg(F.min_by(filled("content"), "pre").alias("resolution")), DOC, "left")
+    size = r"^\s*width\s*=\s*(\d+)\s*,\s*height\s*=\s*(\d+)\s*$"
+    h = t.html.where("pre >= 0")
+    views = h.where((F.col("local") == "meta") & (attr("name") == "viewport")).groupBy("package_id", F.col("doc").alias("path")).agg(F.max_by(filled("content"), "pre").alias("view"), F.bool_and(filled("content").rlike(size)).alias("whole")).where("whole")
+    shown = h.where("local = 'img'").groupBy("package_id", F.col("doc").alias("path")).agg(F.max_by(filled("src"), "pre").alias("src"))
+    side = lambda i: F.regexp_extract("view", size, i).try_cast("long")
+    pages = t.spine.where("path is not null").select("package_id", "path", "line", "col").join(views, ["package_id", "path"]).withColumn("w", side(1)).withColumn("h", side(2)).join(want, "package_id", "left")
+    images = pages.join(shown, ["package_id", "path"]).withColumn("image", resolved("path", F.col("src"))).join(t.files.select("package_id", F.col("name").alias("image"), "content"), ["package_id", "image"])
+    read = images.withColumn("got", jpeg_of("content")).drop("content")
+    decoded = read.where("got.error is null")
+    return [
+        found(books.where("pages > 0 and coalesce(n, 0) <> pages"), "LB-010", "doc", F.coalesce("n", F.lit(0)), line=False),
+        found(books.where("coalesce(resolution, '') <> concat(canvas_w, 'x', canvas_h)"), "LB-011", "doc", F.coalesce("resolution", F.lit("")), line=False),
+        found(pages.where("w is distinct from canvas_w or h is distinct from canvas_h").where("canvas_w is not null and canvas_h is not null"), "LB-012", "path", F.col("view"), line=False),
+        found(decoded.where("got.width is distinct from w or got.height is distinct from h"), "LB-013", "image", F.concat_ws("x", "got.width", "got.height"), line=False),
+        found(decoded.where("grayscale and got.channels <> 1"), "LB-014", "image", F.col("got.channels"), line=False),
+        found(read.where("got.error is not null"), "LB-015", "image", F.col("got.error"), line=False),
+    ]
+
+
+def strict(packages: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Rules for packages that this engine writes: storage of `mimetype`, clean metadata, nothing unlisted in the archive.
+
+    With expected, which may have no rows, also page_rules.
+    """
     t = tables(packages)
     first = t.entries.where("ord = 0 and name = 'mimetype'")
     listed = t.owners.select("package_id", F.col("path").alias("name"))
@@ -362,4 +397,4 @@ def strict(packages: DataFrame) -> DataFrame:
     x = t.opf.where("pre >= 0")
     texts = children(x, children(x, x.where("depth = 0"), "metadata")).where(F.col("text") != F.trim("text"))
     rules = [found(first.where("method <> 0"), "LB-001", line=False), found(first.where("flags & 8 <> 0"), "LB-002", line=False), found(texts, "LB-003", "doc"), found(spare.join(listed, ["package_id", "name"], "left_anti"), "LB-004", "name", line=False)]
-    return reduce(DataFrame.unionByName, rules)
+    return reduce(DataFrame.unionByName, rules + (page_rules(t, expected) if expected is not None else []))

@@ -122,3 +122,41 @@ def test_strict_rules_and_sink(spark):
     assert rows[0][1] == "mimetype" and rows[0][2] == 0 and {r[1] for r in rows} == {n for n, _ in BOOK} | {"OEBPS/spare.txt"}
     extra = struct.unpack_from("<H", again.content, 28)[0]
     assert extra == 0
+
+
+def jpeg(w, h, channels=1, cut=0):
+    """A sequential image of equal blocks, each two bits; without the last cut bytes of its scan."""
+    table = lambda kind: b"\xff\xc4\x00\x14" + bytes([kind, 1, *[0] * 15, 0])
+    frame = struct.pack(">BHHB", 8, h, w, channels) + b"".join(bytes([i, 0x11, 0]) for i in range(channels))
+    scan = bytes([channels]) + b"".join(bytes([i, 0]) for i in range(channels)) + b"\x00\x3f\x00"
+    data = bytes(-(-(-(-w // 8) * -(-h // 8) * channels) // 4))
+    segment = lambda m, d: bytes([255, m]) + struct.pack(">H", len(d) + 2) + d
+    return b"\xff\xd8" + segment(0xC0, frame) + table(0) + table(16) + segment(0xDA, scan) + data[: len(data) - cut] + b"\xff\xd9"
+
+
+def pictured(edits=(), second=None):
+    meta = (OPF, "<dc:title>", '<meta name="original-resolution" content="64x48"/><dc:title>')
+    return book([meta, *edits], drop=["OEBPS/images/1.jpg", "OEBPS/images/2.jpg"], add=[("OEBPS/images/1.jpg", jpeg(64, 48)), ("OEBPS/images/2.jpg", second or jpeg(64, 48))])
+
+
+I2 = "OEBPS/images/2.jpg"
+STRICT = {
+    "valid": (pictured(), set()),
+    "spine": (pictured([(OPF, '<itemref idref="p2"/>', "")]), {("LB-010", OPF)}),
+    "resolution": (pictured([(OPF, "64x48", "64x49")]), {("LB-011", OPF)}),
+    "viewport": (pictured([(P2, "width=64", "width=72")], jpeg(72, 48)), {("LB-012", P2)}),
+    "size": (pictured(second=jpeg(64, 40)), {("LB-013", I2)}),
+    "colour": (pictured(second=jpeg(64, 48, 3)), {("LB-014", I2)}),
+    "header-only": (pictured(second=JPEG), {("LB-015", I2)}),
+    "cut-short": (pictured(second=jpeg(64, 48, cut=1)), {("LB-015", I2)}),
+    "unnamed": (pictured([(OPF, "64x48", "1x1")], jpeg(64, 40, 3)), {("LB-013", I2)}),
+}
+
+
+def test_strict_page_rules(spark):
+    packages = spark.createDataFrame([(n, bytearray(d)) for n, (d, _) in STRICT.items()], "package_id string, content binary")
+    expected = spark.createDataFrame([(n, 2, 64, 48, True) for n in STRICT if n != "unnamed"], "package_id string, pages int, canvas_w int, canvas_h int, grayscale boolean")
+    got = {n: set() for n in STRICT}
+    for r in package_rules.strict(packages, expected).collect():
+        got[r.package_id].add((r.code, r.path))
+    assert got == {n: want for n, (_, want) in STRICT.items()}

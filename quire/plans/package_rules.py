@@ -172,7 +172,8 @@ def metadata_rules(t: Tables) -> list[DataFrame]:
     meta = children(x, root, "metadata")
     part = {n: children(x, meta, n, DC) for n in ("identifier", "title", "language")}
     blank = F.trim("text") == ""
-    pairs = root.select(*DOC, "line", "col", F.explode(F.expr(f"transform(sequence(0, 32), i -> struct(get(split(trim(regexp_replace(coalesce(try_element_at(attrs, 'prefix'), ''), '\\\\s+', ' ')), ' '), 2 * i) as name, get(split(trim(regexp_replace(coalesce(try_element_at(attrs, 'prefix'), ''), '\\\\s+', ' ')), ' '), 2 * i + 1) as uri))")).alias("p")).where("p.uri is not null and p.name like '%:'")
+    fields = root.select(*DOC, "line", "col", F.split(F.trim(F.regexp_replace(filled("prefix"), r"\s+", " ")), " ").alias("fields"))
+    pairs = fields.select(*DOC, "line", "col", F.explode(F.expr("transform(sequence(0, cast((size(fields) - 1) div 2 as int)), i -> struct(get(fields, 2 * i) as name, get(fields, 2 * i + 1) as uri))")).alias("p")).where("p.uri is not null and p.name like '%:'")
     declared = pairs.where(F.col("p.uri") != DC).select(*DOC, F.regexp_replace("p.name", ":$", "").alias("prefix")).distinct()
     used = x.select(*DOC, "line", "col", F.explode(F.flatten(F.array(*[tokens(attr(a)) for a in ("property", "rel", "properties", "scheme")]))).alias("v")).where("v like '%:%'").withColumn("prefix", F.substring_index("v", ":", 1))
     uid = root.withColumn("uid", filled("unique-identifier"))

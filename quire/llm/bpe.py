@@ -1,19 +1,23 @@
 """Token ids of public byte-pair vocabularies, with caches over repeated words.
 
-The ids are those of ``tokenizers`` with ``add_special_tokens=False`` and with the strings of special
-tokens read as ordinary text. A text is cut at spaces where the vocabulary's pre-tokenizer always cuts,
-so each piece can be encoded alone and remembered. Pieces of plain Latin letters, digits and ASCII
+The ids are those of ``tokenizers`` with ``add_special_tokens=False``: the string of a special token in a
+text is that token, as the library reads it. A text is cut at those strings, and at spaces where the
+vocabulary's pre-tokenizer always cuts, so each piece can be encoded alone and remembered. Pieces of plain Latin letters, digits and ASCII
 signs go straight to the library's BPE model, word by word; any other piece goes through the whole
 library pipeline. Caches are cleared when full, which bounds memory and never changes an id.
+
+Defined results: null and empty texts have no ids. Where a vocabulary has added tokens that strip or normalise
+what stands beside them, a text that holds one goes through the library whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from functools import lru_cache
 
-MAX_WORDS, MAX_PIECES = 600_000, 300_000  # entries: a word costs more to encode again than a piece
+MAX_WORDS, MAX_PIECES = 300_000, 600_000  # entries
 MAX_PIECE = 80
 
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -37,13 +41,16 @@ class _Words(dict):
         self.model = tokenizer.model
         self.letters = {b: chr(c) for b, c in enumerate(_byte_letters())}
 
-    def __missing__(self, word: str) -> bytes:
+    def encoded(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():
             shown = word.replace(" ", self.letters[32])
         else:
             shown = word.encode().decode("latin-1").translate(self.letters)
         found = self.model.tokenize(shown)
-        out = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.encoded(word)
         if len(self) >= MAX_WORDS:
             self.clear()
         if len(word) <= MAX_PIECE:
@@ -71,11 +78,15 @@ class Bpe:
     """spaced: words carry their leading space (byte-level); else white space is dropped and case folded."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Python worker has one core
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.whole.model._resize_cache(0)  # ours stands before it
+        added = self.whole.get_added_tokens_decoder()
+        self.special = {t.content: struct.pack("<I", i) for i, t in added.items()}
+        self.simple = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.sections = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})").split
         self.spaced = self.whole.normalizer is None
         # The pre-tokenizers' patterns over plain characters.
         letters = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -90,18 +101,30 @@ class Bpe:
     def encode_piece(self, lead: str, piece: str) -> bytes:
         body, end = (piece[:-1], piece[-1]) if piece[-1:] in _ENDS else (piece, "")
         if body.isalpha() and (body.isascii() or _PLAIN.fullmatch(body)):  # one word, and one sign at most
-            out = self.words[lead + body if self.spaced else body.lower()]
-            return out + self.words[end] if end else out
+            if end:
+                return (self.later if lead or not self.spaced else self.first)[body] + self.words[end]
+            return self.words.encoded(lead + body if self.spaced else body.lower())
         piece = lead + piece
         if _PLAIN.fullmatch(piece):
             return b"".join(map(self.words.__getitem__, self.words_in(piece if self.spaced else piece.lower())))
-        ids = self.whole.encode(piece, add_special_tokens=False).ids
+        return self._library(piece)
+
+    def _library(self, text: str) -> bytes:
+        ids = self.whole.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """ids as little-endian unsigned 32-bit integers; null and empty texts have none"""
         if not text:
             return b""
+        if not any(s in text for s in self.special):
+            return self._section(text)
+        if not self.simple:
+            return self._library(text)
+        return b"".join(self.special[s] if i % 2 else self._section(s) for i, s in enumerate(self.sections(text)) if s)
+
+    def _section(self, text: str) -> bytes:
+        """ids of a text that holds no special token"""
         pieces = _CUT.split(text) if self.spaced and _TWO.search(text) else text.split(" ")
         if not self.spaced:
             return b"".join(map(self.first.__getitem__, pieces))

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from quire.llm.bpe import loaded
 from quire.llm.common import read_file, shared_dir, stored, write_file
 
-MAGIC = b"QWM1"
+MAGIC = b"QWM2"
 BLOCK = 1 << 16  # bits of a plane that are compressed together and counted together
 SHARD_TOKENS = 1 << 22  # a shard is closed once it holds so many; one document is never split
 
@@ -34,30 +35,31 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     """Bit-planes as booleans from the highest bit, and the zeros in each."""
     planes, zeros, a = [], [], ids
     for k in range(bits - 1, -1, -1):
-        ones = (a & a.dtype.type(1 << k)) != 0
+        ones = (a & a.dtype.type(1 << k)).astype(bool)
         planes.append(ones)
         zeros.append(len(a) - int(np.count_nonzero(ones)))
-        if k:
-            a = np.concatenate([a[~ones], a[ones]]) if 0 < zeros[-1] < len(a) else a
+        if k and 0 < zeros[-1] < len(a):
+            a = np.concatenate([a.take(np.flatnonzero(~ones)), a.take(np.flatnonzero(ones))])
     return planes, zeros
 
 
 def packed(ids: np.ndarray, docs: list[tuple[int | None, int]], bits: int) -> bytes:
     """The file: magic, header length, header (JSON), document table, then the planes' blocks."""
     planes, zeros = build(ids, bits)
+    compress = zstandard.ZstdCompressor(level=1).compress
     blocks, ends, ones, at = [], [], [], 0
     for plane in planes:
         before, end, count = [], [], 0
         for i in range(0, len(plane), BLOCK):
             part = plane[i : i + BLOCK]
-            blocks.append(zlib.compress(np.packbits(part, bitorder="little").tobytes(), 1))
+            blocks.append(compress(np.packbits(part, bitorder="little").tobytes()))
             before.append(count)
             count += int(np.count_nonzero(part))
             at += len(blocks[-1])
             end.append(at)
         ends.append(end)
         ones.append(before)
-    table = zlib.compress(b"".join(struct.pack("<?qQ", d is None, d or 0, n) for d, n in docs))
+    table = compress(b"".join(struct.pack("<?qQ", d is None, d or 0, n) for d, n in docs))
     head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "ends": ends, "ones": ones, "docs": len(docs), "table": len(table)}, separators=(",", ":")).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, table, *blocks])
 
@@ -71,14 +73,15 @@ class WaveletMatrix:
         size = struct.unpack_from("<I", data, 4)[0]
         head = json.loads(data[8 : 8 + size])
         self.n, self.bits, self.zeros, self.ends, self.ones = (head[k] for k in ("n", "bits", "zeros", "ends", "ones"))
-        table = zlib.decompress(data[8 + size : 8 + size + head["table"]])
+        self.unpack = zstandard.ZstdDecompressor().decompress
+        table = self.unpack(data[8 + size : 8 + size + head["table"]])
         self.docs = [(None if null else d, n) for null, d, n in struct.iter_unpack("<?qQ", table)]
         self.body = memoryview(data)[8 + size + head["table"] :]
         self.cached: dict[tuple[int, int], np.ndarray] = {}
 
     def block(self, k: int, j: int) -> np.ndarray:
         start = self.ends[k][j - 1] if j else self.ends[k - 1][-1] if k else 0
-        raw = zlib.decompress(self.body[start : self.ends[k][j]])
+        raw = self.unpack(self.body[start : self.ends[k][j]])
         return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=min(BLOCK, self.n - j * BLOCK)).astype(bool)
 
     def _block(self, k: int, j: int) -> np.ndarray:
@@ -146,7 +149,7 @@ class WaveletMatrix:
             ones = np.concatenate([self.block(k, j) for j in range(len(self.ends[k]))] or [np.zeros(0, bool)])
             a[self.zeros[k] :] |= a.dtype.type(1 << self.bits - 1 - k)
             up = np.empty_like(a)
-            up[~ones], up[ones] = a[: self.zeros[k]], a[self.zeros[k] :]
+            up[np.flatnonzero(~ones)], up[np.flatnonzero(ones)] = a[: self.zeros[k]], a[self.zeros[k] :]
             a = up
         return a
 

@@ -18,7 +18,7 @@ def texts(seed=3, n=40):
         w = t.split()
         w[r.randrange(len(w))] = "changed"
         near.append(" ".join(w))
-    return [*base, *near, base[0], base[0].upper(), base[1] + "\n", "", None, " \t\n", "one", "two words", "one", "no break\x00here", "x" * 3000 + " tail", " ".join(word(r) for _ in range(20_000)), "...", "123 !!", "<|endoftext|>"]
+    return [*base, *near, base[0], base[0].upper(), base[1] + "\n", "", None, " \t\n", "one", "two words", "one", "no break\x00here", "x" * 3000 + " tail", " ".join(word(r) for _ in range(20_000)), "...", "123 !!", "<|endoftext|>", "one <|endoftext|> two<|startoftext|>"]
 
 
 def rows(seed=3):

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quire.llm import bpe, decontaminate, lines, quality
@@ -66,8 +67,8 @@ def test_decontamination(spark, stages):
 
 
 def test_packing(stages):
-    b = bpe.loaded(bpe.path_of("word_bpe_49k.json"))
-    want = {r.doc_id: len(b.whole.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in stages[4].collect()}
+    library = Tokenizer.from_file(bpe.path_of("word_bpe_49k.json"))
+    want = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in stages[4].collect()}
     rows = stages[5].toPandas()
     assert rows.groupby("doc_id").length.sum().to_dict() == want
     assert (rows.groupby("sequence_id").length.sum() <= 4096).all() and rows.sequence_id.nunique() <= sum(want.values()) / 4096 * 1.05 + 2

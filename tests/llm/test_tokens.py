@@ -5,26 +5,32 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quire.llm import bpe, packing, wavelet
 from tests.llm.fixtures import documents, empty, rows
 
 pytest.importorskip("public_tokenizers")
-ALPHABET = [" ", "  ", "\n", " \n", "\t", "a", "The", "É", "ß", "1", "23", "'s", "'LL", ".", "!!", "%", "́", "中", "<|endoftext|>", "\xa0", "\x85", "\x1c", "²", "İ", "Σ", "…", "x" * 90]
+LIBRARY = {n: Tokenizer.from_file(bpe.path_of(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+ALPHABET = [" ", "  ", "\n", " \n", "\t", "a", "The", "É", "ß", "1", "23", "'s", "'LL", ".", "!!", "%", "́", "中", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\xa0", "\x85", "\x1c", "²", "İ", "Σ", "…", "x" * 90]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(ALPHABET), max_size=12).map("".join))
 def test_cached_ids_equal_the_library(name, text):
-    b = bpe.loaded(bpe.path_of(name))
-    ids = b.encode(text)
-    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == b.whole.encode(text, add_special_tokens=False).ids
+    ids = bpe.loaded(bpe.path_of(name)).encode(text)
+    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == LIBRARY[name].encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_are_their_tokens():
+    ids = lambda name, text: np.frombuffer(bpe.loaded(bpe.path_of(name)).encode(text), "<u4").tolist()
+    assert ids("byte_bpe_50k.json", "a <|endoftext|> b") == [64, 220, 50256, 275] and ids("word_bpe_49k.json", "a <|endoftext|> b") == [320, 49407, 321]
+    assert ids("word_bpe_49k.json", "<|startoftext|><|endoftext|>") == [49406, 49407]
 
 
 def expected(name, end):
-    b = bpe.loaded(bpe.path_of(name))
-    return [(r[0], [*(b.whole.encode(r[1], add_special_tokens=False).ids if r[1] else []), end]) for r in rows()]
+    return [(r[0], [*(LIBRARY[name].encode(r[1], add_special_tokens=False).ids if r[1] else []), end]) for r in rows()]
 
 
 def crc(ids):

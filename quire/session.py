@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,13 +33,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir: computed once, kept when executors are lost, of known size to the planner."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's URI in this application's folder under spark.checkpoint.dir, which driver and executors share.
+
+    Only on one machine, as in tests, a temporary folder stands in where that setting is absent.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # one machine, as in tests
-        base = "file://" + tempfile.mkdtemp(prefix="quire-tables-")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{base.rstrip('/')}/quire-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables and files that this application has put into the shared folder; frames that read them are void."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quire-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, kept when executors are lost, of known size to the planner."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,34 +1,22 @@
-"""Shared helpers: the folder all machines see, tables written into it, files in it, splits."""
+"""Shared helpers: tables and files in the folder that all machines see, splits."""
 
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import shared_dir, written
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests on one machine) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
+__all__ = ["files_of", "read_file", "shared_dir", "split_of", "stored", "write_file"]
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name, codec)
 
 
 def files_of(uri: str):

@@ -1,17 +1,17 @@
 """Boilerplate lines by site-relative frequency, with DataFrame functions alone.
 
 Pages are grouped by host. A line is boilerplate of a host when at least MIN_PAGES of the host's pages hold
-it and they are more than RATIO of all the host's pages; it is dropped from every page of that host. Equal
-pages of a host count as one page, on both sides of the division: a page that was copied is a matter for
-deduplication, not a template. Lines are compared whole, by a 64-bit hash within their host.
+it and they are more than RATIO of all the host's pages; it is dropped from every page of that host. Every
+row is a page, copies too. A line is known by a 64-bit hash of its whole bytes within its host.
 
-Work follows the hot host by rows, not by groups: lines are counted with partial sums, and a host's
-boilerplate lines are few by definition (at most its mean number of lines a page, divided by RATIO). They
-are broadcast while all of them are under SENT_LINES, else joined by host and salt.
+Work follows the hot host by rows, not by groups: lines are counted with partial sums before the shuffle, and
+a host's boilerplate lines are few by definition (at most its mean number of lines a page, divided by RATIO).
+They are broadcast while all of them are under SENT_LINES, else joined by host and salt.
 
-Defined results: a blank line (empty or spaces) is never boilerplate. A null text stays null and has no
-line; an empty text is one blank line. Null hosts are one host. Rows are kept one for one, repeated ones
-too. An empty table gives no rows. `deduplicated` carries all columns; `line_report` only its own.
+Defined results: a blank line (empty or spaces) is never boilerplate. A null text stays null, has no
+line and is no page; an empty text is one blank line. Null hosts are one host. A line that a page repeats
+counts once for it, whatever the text's length. Rows are kept one for one, repeated ones too. An empty table
+gives no rows. `deduplicated` carries all columns; `line_report` only its own.
 """
 
 from __future__ import annotations
@@ -35,10 +35,9 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     """A stored row for each host that has some: b_host, b_lines (hashes), n_lines."""
     t = F.col(text).cast("string")
     lines = F.filter(_lines(t), lambda x: F.trim(x) != "")
-    rows = pages.where(t.isNotNull()).select(F.col(host).cast("string").alias("host"), F.xxhash64(t).alias("page"), F.octet_length(t).alias("size"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines"))
-    distinct = rows.groupBy("host", "page", "size").agg(F.first("lines").alias("lines"))
-    totals = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    rows = pages.where(t.isNotNull()).select(F.col(host).cast("string").alias("host"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines"))
+    totals = pages.where(t.isNotNull()).groupBy(F.col(host).cast("string").alias("host")).agg(F.count("*").alias("pages"))
+    counts = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     found = counts.join(totals.select(F.col("host").alias("t_host"), "pages"), F.col("host").eqNullSafe(F.col("t_host"))).where(F.col("n") > F.col("pages") * ratio)
     return stored(found.groupBy("host").agg(F.collect_list("line").alias("b_lines")).select(F.col("host").alias("b_host"), "b_lines", F.size("b_lines").alias("n_lines")), "boilerplate")
 
@@ -75,10 +74,10 @@ def line_report(pages: DataFrame, key: str, host: str, text: str, ratio: float =
 
 
 LINE_SQL = f"""
-WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+WITH pages AS (SELECT source, text FROM documents WHERE text IS NOT NULL),
 totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
 counts AS (SELECT source, line, count(*) AS n
-           FROM (SELECT DISTINCT source, text, unnest(string_split(text, chr(10))) AS line FROM pages)
+           FROM (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages)
            WHERE trim(line) <> '' GROUP BY source, line),
 boilerplate AS (SELECT c.source, list(c.line) AS lines
                 FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source

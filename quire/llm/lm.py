@@ -7,6 +7,11 @@ Elias-Fano form, with one byte a pair for its smoothed probability. A pair is lo
 search relative to its context. Level 3 (order 3) lies in its pairs' shards: running totals of the pairs'
 counts, and the successors as `pair's place * V + word id`, with one byte each. A pair at a text's end has none.
 
+Each byte counts steps of one logarithmic quantiser, which the largest count of the corpus fixes for all shards
+and levels; it rounds towards the smaller probability. So the probabilities after a context add up to 1 at most,
+none is above 1, and scores do not depend on the number of shards. Level 1 keeps exact counts, which the base
+score needs, and its probabilities follow from them.
+
 A pair's probability is c(uv) / (c(u) + PRIOR), quantised, plus PRIOR / (c(u) + PRIOR) times the word's own:
 (c - d) / N for a known word, with the mass d * V / N of all unknown words for an unknown one; d is set by
 how many words occur once and twice. After a pair that was seen, order 3 adds c(uvw) / (c(uv) + PRIOR),
@@ -115,12 +120,15 @@ class Words:
     total: int  # N
     docs: int
     discount: float
+    most: int = 0  # the largest count
     cuts: int = 1  # parts a share of a frequent context
 
     def __post_init__(self):
         self.base = np.concatenate([[0], np.cumsum(self.sizes)])
         self.pairs = np.zeros(len(self.sizes), np.int64)  # of each shard of level 2
         self.shards, self.count = len(self.sizes), int(self.base[-1])  # V
+        # One quantiser for all shards and levels: no share is smaller than 1 / (most + PRIOR), which 255 steps reach.
+        self.step = float(np.log10(max(self.most, self.docs) + PRIOR)) / 255
 
     def shard_of(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(31)) * np.uint64(self.shards) >> np.uint64(32)
@@ -217,16 +225,16 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> Words:
             n, totals = totals[1:].copy(), np.cumsum(totals)
             write_file(f"{folder}/words-{shard:06d}.ef", [encode(h, HASHED), encode(totals, int(totals[-1]) + 1)])
             docs = int(n[h == END].sum())
-            yield pa.RecordBatch.from_pydict({k: [int(v)] for k, v in (("shard", shard), ("words", len(h)), ("tokens", totals[-1]), ("once", (n == 1).sum()), ("twice", (n == 2).sum()), ("docs", docs))})
+            yield pa.RecordBatch.from_pydict({k: [int(v)] for k, v in (("shard", shard), ("words", len(h)), ("tokens", totals[-1]), ("once", (n == 1).sum()), ("twice", (n == 2).sum()), ("docs", docs), ("most", n.max()))})
 
     counted = texts.select("text").mapInArrow(count, "shard int, h binary, n binary")
-    made = counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, words long, tokens long, once long, twice long, docs long")
+    made = counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, words long, tokens long, once long, twice long, docs long, most long")
     rows = stored(made, "lm-words").collect()  # a row for each shard
     sizes = np.zeros(shards, np.int64)
     for r in rows:
         sizes[r["shard"]] = r["words"]
     once, twice = (sum(r[k] for r in rows) for k in ("once", "twice"))
-    return Words(folder, sizes, sum(r["tokens"] for r in rows), sum(r["docs"] for r in rows), once / (once + 2 * twice) if once and twice else 0.5)
+    return Words(folder, sizes, sum(r["tokens"] for r in rows), sum(r["docs"] for r in rows), once / (once + 2 * twice) if once and twice else 0.5, max((r["most"] for r in rows), default=0))
 
 
 def _known(words: Words, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,14 +249,13 @@ def _known(words: Words, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return ids, counts, before, before_counts, ends
 
 
-def _shares(share: np.ndarray) -> list[bytes]:
-    """Logarithms of probabilities as a step and one byte each."""
-    step = max(-float(share.min(initial=0.0)) / 255, 1e-9)
-    return [np.float64(step).tobytes(), np.minimum(np.round(-share / step), 255).astype(np.uint8).tobytes()]
+def _shares(words: Words, share: np.ndarray) -> bytes:
+    """Logarithms of probabilities, one byte each: steps below 1, towards the smaller probability."""
+    return np.minimum(np.ceil(-share / words.step - 1e-9), 255).astype(np.uint8).tobytes()
 
 
-def _share(tail: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-float(tail[:8].view("<f8")[0]) * tail[8:][at])
+def _share(words: Words, tail: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return 10.0 ** (-words.step * tail[at])
 
 
 def count_pairs(texts: DataFrame, words: Words, order: int = 2) -> None:
@@ -290,13 +297,13 @@ def count_pairs(texts: DataFrame, words: Words, order: int = 2) -> None:
         contexts, begin, at = np.unique(u, return_index=True, return_inverse=True)
         share = np.log10(totals / (words.counts(contexts)[at] + PRIOR))
         parts = [encode(contexts, words.count + 1), encode(np.append(begin, len(u)), len(u) + 1), encode(at * words.count + v, len(contexts) * words.count)]
-        write_file(f"{words.folder}/pairs-{shard:06d}.ef", [*parts, *_shares(share)])
+        write_file(f"{words.folder}/pairs-{shard:06d}.ef", [*parts, _shares(words, share)])
 
     def write_triples(shard: int, at: np.ndarray, w: np.ndarray, n: np.ndarray, totals: np.ndarray) -> None:
-        tail = _shares(np.log10(n / (totals[at] + PRIOR)))
+        tail = _shares(words, np.log10(n / (totals[at] + PRIOR)))
         at = at * words.count + w
         parts = [encode(np.append(0, np.cumsum(totals)), int(totals.sum()) + 1), encode(at, len(totals) * words.count)]
-        write_file(f"{words.folder}/triples-{shard:06d}.ef", [*parts, *tail])
+        write_file(f"{words.folder}/triples-{shard:06d}.ef", [*parts, tail])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, (u, v, w, n) in _gathered(batches, [narrow, narrow, narrow, "<i8"]):
@@ -334,7 +341,7 @@ def pair_shares(words: Words, u: np.ndarray, v: np.ndarray, count_u: np.ndarray)
         j = successors.find(i[seen] * words.count + v[rows[seen]], contexts.n * words.count)
         inside = (j >= 0) & (j >= begin[seen].astype(np.int64)) & (j < end[seen].astype(np.int64))
         place[rows[seen[inside]]] = j[inside]
-        out[rows[seen[inside]]] = _share(tail, j[inside])
+        out[rows[seen[inside]]] = _share(words, tail, j[inside])
     return out, shard, place
 
 
@@ -352,7 +359,7 @@ def triple_shares(words: Words, shard: np.ndarray, place: np.ndarray, w: np.ndar
         counts[rows] = (totals.get(own + 1) - totals.get(own)).astype(np.int64)[at]
         known = rows[w[rows] >= 0]
         j = successors.find(place[known] * words.count + w[known], int(words.pairs[s]) * words.count)
-        out[known[j >= 0]] = _share(tail, j[j >= 0])
+        out[known[j >= 0]] = _share(words, tail, j[j >= 0])
     return out, counts
 
 

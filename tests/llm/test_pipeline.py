@@ -1,5 +1,8 @@
 """The pipeline on the smallest tables, every stage held against a plain version on the stage's own input."""
 
+import re
+import string
+
 import duckdb
 import numpy as np
 import pytest
@@ -31,10 +34,21 @@ def test_quality(spark, stages):
     model = quality.train(stages[0], spark.read.parquet(f"{SF}/labels.parquet"))
 
     def stats(t):
-        b, words = t.encode(), t.replace("\n", " ").split(" ")
-        n = max(len(b), 1)
-        return [np.log1p(len(b)), sum(65 <= c <= 90 for c in b) / n, len(b) / len(words), len(set(words)) / len(words) ** 0.5, len(set(words)) / len(words), t.count(".") / n, t.count("\n") / n, *(t.count(c) / n for c in quality.SIGNS)]
-
+        b, words, lines = t.encode(), re.split("[ \n]", t), t.split("\n")
+        n, sizes, k = max(len(b), 1), [len(w.encode()) for w in words], len(words)
+        signs = [t.count(c) for c in quality.SIGNS]
+        p = np.array([c / sum(signs) for c in signs if c])
+        share = lambda chars: sum(c in chars for c in t) / n
+        pairs, mean = list(zip(words, words[1:], strict=False)) or [0], sum(len(x.encode()) for x in lines) / len(lines)
+        return [
+            np.log1p(len(b)), share(string.ascii_uppercase), share(string.digits), share(string.whitespace), (len(b) - len(t)) / n, sum(signs) / n, share(set(string.punctuation) - set(quality.SENTENCE)),
+            -(p * np.log(p)).sum(), p.max(initial=0), len(b) / k, sum(z >= 16 for z in sizes) / k, sum(z <= 3 for z in sizes) / k, len(set(words)) / k**0.5, len(set(words)) / k, 1 - len(set(pairs)) / len(pairs),
+            len(lines) / n, np.mean([(len(x.encode()) - mean) ** 2 for x in lines]) ** 0.5 / max(mean, 1), 1 - len(set(lines)) / len(lines), sum(x[-1:] in (".", "!", "?") for x in lines if x) / len(lines),
+        ]
+
+    got = quality.described(stages[0].select("text")).select("text", *[f"_quire_{k}" for k in quality.NAMES]).collect()
+    for r in got:
+        assert np.allclose(stats(r[0] or ""), r[1:]), r[0]
     want = set(x.doc_id[model.scores(np.array([stats(t or "") for t in x.text])) >= 0.5])
     assert {r.doc_id for r in stages[1].collect()} == want and 0 < len(want) < len(x)
 
@@ -54,14 +68,14 @@ def test_near_duplicates(stages):
 
 def test_decontamination(spark, stages):
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    parts = [[decontaminate.shingles(w) for w in (*decontaminate.question_and_answer(t), decontaminate.words(t))] for t in items]
+    parts = [list(map(decontaminate.shingles, decontaminate.question_and_answer(t))) for t in items]
     gone = set()
     for r in stages[3].collect():
         w = decontaminate.words(r.text)
         have = {k: decontaminate.shingles(w, k) for k in range(1, 6)}
         for p in parts:
-            q, a, whole = (sum(g in have[len(g)] for g in s) / len(s) if s else 1.0 for s in p)
-            if whole >= 0.8 or min(q, a) >= 0.8:
+            q, a = (sum(g in have[len(g)] for g in s) / len(s) if s else 1.0 for s in p)
+            if min(q, a) >= 0.8:
                 gone.add(r.doc_id)
     assert {r.doc_id for r in stages[4].collect()} == {r.doc_id for r in stages[3].collect()} - gone
 

@@ -9,15 +9,15 @@ largest impact in each block; a block whose maxima stay under the threshold for
 entered, and within the others WAND moves from pivot to pivot.
 
 A retrieved item is confirmed on whole five-word shingles of the passage: its question (all sentences but
-the last; of a single sentence, the first two thirds) and its answer (the rest) must each be covered by at
-least OVERLAP.
+the last; of a single sentence, the first two thirds) and its answer (the rest) are each covered by at least
+OVERLAP, or the whole item is and at least ANSWER of its answer. Never without its answer.
 
 Statistics (number of items, document frequencies, mean and largest length) are of the whole item table. The
 index is written to the shared folder in parts of about ITEMS items; tasks hold PARTS of them at a time and
 search all of them for each group of documents, so documents are read once whatever the number of parts, and
 scores do not depend on it. Words are runs without ASCII white space or punctuation, A-Z lower-cased. Defined
-results: null and empty texts and items are never contaminated. Items or parts with fewer than five words are
-one shingle; an item of one or two words has no answer to find. Item rows that repeat id and text are one item; documents that repeat
+results: null and empty texts and items are never contaminated. Of an item or part with fewer than five words,
+the longest run of its words counts; an item of one or two words has no answer to find. Item rows that repeat id and text are one item; documents that repeat
 an id are reported for each row. Empty tables give no rows. Other columns are ignored by `contaminations`
 and carried by `decontaminated`.
 """
@@ -44,6 +44,7 @@ ITEMS = 1_000  # of a part of the index
 PARTS = 4  # that a task holds at a time
 THRESHOLD = 0.5
 OVERLAP = 0.8
+ANSWER = 0.5
 SHINGLE = 5
 K1, B = 1.2, 0.75
 ITEM_BLOCK = 8
@@ -93,7 +94,7 @@ class Index:
         self.block_most = np.zeros((max(1, len(self.terms)), -(-max(1, len(kept)) // ITEM_BLOCK)), np.float32)
         for t, (docs, impacts) in enumerate(zip(self.docs, self.impacts, strict=True)):
             np.maximum.at(self.block_most[t], np.array(docs) // ITEM_BLOCK, impacts)
-        self.parts = [tuple(map(shingles, question_and_answer(text))) for _, _, text in kept]
+        self.parts = [(*map(shingles, question_and_answer(text)), shingles(w)) for _, w, text in kept]
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(item number, score) of every item of at least threshold, by block-max WAND over distinct terms."""
@@ -167,15 +168,23 @@ class Index:
             own, passage = np.unique(term[edges[j] : edges[min(j + 2, n)]]).tolist(), None
             for item, score in self.search(own, threshold):
                 passage = passage or shingles(w[j * stride : (j + 2) * stride])
-                in_q, in_a = (self._covered(part, passage, w, j) / len(part) if part else 1.0 for part in self.parts[item])
-                if min(in_q, in_a) >= overlap and score > found.get(item, (0, -1.0))[1]:
+                in_q, in_a, whole = (self._covered(part, passage, w, j) for part in self.parts[item])
+                if (min(in_q, in_a) >= overlap or whole >= overlap and in_a >= ANSWER) and score > found.get(item, (0, -1.0))[1]:
                     found[item] = (self.ids[item], score, int(j) * stride, in_q, in_a)
         return list(found.values())
 
-    def _covered(self, part: set, passage: set, w: list[bytes], j: int) -> int:
-        """How many of a part's shingles the passage holds; a shorter shingle is looked up word by word."""
-        k = len(next(iter(part))) if part else SHINGLE
-        return len(part & (passage if k == SHINGLE else shingles(w[j * self.longest : (j + 2) * self.longest], k)))
+    def _covered(self, part: set, passage: set, w: list[bytes], j: int) -> float:
+        """The share of a part's shingles that the passage holds; of a part of fewer words, that of its longest run."""
+        size = len(next(iter(part))) if part else 0
+        if size in (0, SHINGLE):
+            return len(part & passage) / len(part) if part else 1.0
+        (run,) = part
+        window = w[j * self.longest : (j + 2) * self.longest]
+        for k in range(size, 0, -1):
+            have = shingles(window, k) if len(window) >= k else set()
+            if any(run[i : i + k] in have for i in range(size - k + 1)):
+                return k / size
+        return 0.0
 
 
 _HITS = "doc_id long, item_id long, score double, start_word long, question_overlap double, answer_overlap double"

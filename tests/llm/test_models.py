@@ -202,8 +202,23 @@ def test_decontamination(spark):
     assert decontaminate.contaminations(docs.limit(0), items).count() == 0 and decontaminate.contaminations(docs, items.limit(0)).count() == 0
 
 
+def confirmed(text, passage, overlap):
+    """Whether a passage (words) holds a test item, by counting shingles and runs one by one."""
+    parts = [*decontaminate.question_and_answer(text), decontaminate.words(text)]
+
+    def share(part):
+        held = lambda run: any(passage[i : i + len(run)] == run for i in range(len(passage) - len(run) + 1))
+        if len(part) >= 5:
+            runs = {tuple(part[i : i + 5]) for i in range(len(part) - 4)}
+            return sum(held(list(r)) for r in runs) / len(runs)
+        return max([k / len(part) for k in range(1, len(part) + 1) if any(held(part[i : i + k]) for i in range(len(part) - k + 1))], default=0.0) if part else 1.0
+
+    q, a, whole = map(share, parts)
+    return min(q, a) >= overlap or whole >= overlap and a >= 0.5
+
+
 def plain_scores(items):
-    """doc words -> {item: score of its best window in which score, question and answer reach least}, by plain BM25 sums over every window and item."""
+    """doc words -> {item: score of its best window that reaches least and is confirmed}, by plain BM25 sums over every window and item."""
     texts = sorted({(i, t) for i, t in items if i is not None and t is not None and decontaminate.words(t)})
     bags = [decontaminate.words(t) for _, t in texts]
     n, mean, longest = len(bags), sum(map(len, bags)) / len(bags), max(map(len, bags))
@@ -212,17 +227,15 @@ def plain_scores(items):
     for w in bags:
         own = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, c in Counter(w).items()}
         weights.append({t: x / sum(own.values()) for t, x in own.items()})
-    parts = [[decontaminate.shingles(p) for p in decontaminate.question_and_answer(t)] for _, t in texts]
 
     def of(w, least):
         out = {}
         for at in range(0, max(1, len(w) - longest), longest) if w else ():
             window = w[at : at + 2 * longest]
-            have, terms = {k: decontaminate.shingles(window, k) if len(window) >= k else set() for k in range(1, 6)}, set(window)
-            for (i, _), own, p in zip(texts, weights, parts, strict=True):
+            terms = set(window)
+            for (i, text), own in zip(texts, weights, strict=True):
                 score = sum(x for t, x in own.items() if t in terms)
-                q, a = (sum(g in have[len(g)] for g in s) / len(s) if s else 1.0 for s in p)
-                if min(score, q, a) >= least:
+                if score >= least and confirmed(text, window, least):
                     out[i] = max(score, out.get(i, 0.0))
         return out
 

@@ -12,6 +12,7 @@ import corpus_pipeline
 from quire.llm import bpe, decontaminate, lines, quality
 from tests.llm.fixtures import documents
 from tests.llm.test_dedup import brute
+from tests.llm.test_models import confirmed
 
 pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -68,15 +69,11 @@ def test_near_duplicates(stages):
 
 def test_decontamination(spark, stages):
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    parts = [list(map(decontaminate.shingles, decontaminate.question_and_answer(t))) for t in items]
     gone = set()
     for r in stages[3].collect():
         w = decontaminate.words(r.text)
-        have = {k: decontaminate.shingles(w, k) for k in range(1, 6)}
-        for p in parts:
-            q, a = (sum(g in have[len(g)] for g in s) / len(s) if s else 1.0 for s in p)
-            if min(q, a) >= 0.8:
-                gone.add(r.doc_id)
+        have = decontaminate.shingles(w, 3)
+        gone |= {r.doc_id for t in items if decontaminate.shingles(decontaminate.words(t), 3) & have and confirmed(t, w, 0.8)}
     assert {r.doc_id for r in stages[4].collect()} == {r.doc_id for r in stages[3].collect()} - gone
 
 

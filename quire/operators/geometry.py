@@ -9,13 +9,6 @@ from pyspark.sql import functions as F
 from quire.functions.scalars import ceil_div, orientation, whole
 
 
-def modal_size(pages: DataFrame, book: str) -> DataFrame:
-    """pages(book, w, h) -> book, mode_w, mode_h: the commonest size; ties go to the larger area, then the wider."""
-    sizes = pages.groupBy(book, "w", "h").agg(F.count("*").alias("n"))
-    best = F.max_by(F.struct("w", "h"), F.struct("n", F.col("w") * F.col("h"), "w"))
-    return sizes.groupBy(book).agg(best.alias("mode")).select(book, F.col("mode.w").alias("mode_w"), F.col("mode.h").alias("mode_h"))
-
-
 def canvas(pages: DataFrame, book: str, max_edge: int) -> DataFrame:
     """pages(book, w, h) -> book, w, h: the canvas that holds every page at the modal shape, capped and even.
 

@@ -6,6 +6,8 @@ segments are read, not its scans.
 
 from __future__ import annotations
 
+import zlib
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,3 +170,28 @@ def jpeg_of(content: pd.Series) -> pd.DataFrame:
             return None, None, None, str(e) or "short data"
 
     return pd.DataFrame([one(x) for x in content], columns=RESULT.names).astype({"width": "Int64", "height": "Int64", "channels": "Int32"})
+
+
+@F.pandas_udf(T.BooleanType())
+def image_header(data: pd.Series) -> pd.Series:
+    """Whether the header of a JPEG, PNG or GIF image states a size; null for other data."""
+
+    def stated(b: bytes | None) -> bool | None:
+        b = b or b""
+        if b[:8] == b"\x89PNG\r\n\x1a\n":
+            return len(b) >= 33 and b[12:16] == b"IHDR" and zlib.crc32(b[12:29]) == int.from_bytes(b[29:33]) and all(int.from_bytes(b[i : i + 4]) for i in (16, 20))
+        if b[:4] == b"GIF8":
+            return len(b) >= 13
+        if b[:2] != b"\xff\xd8":
+            return None
+        at = 2
+        while at + 4 <= len(b) and b[at] == 255:
+            marker, size = b[at + 1], int.from_bytes(b[at + 2 : at + 4])
+            if marker in (0xC0, 0xC1, 0xC2):
+                return size >= 8 and len(b) >= at + 2 + size
+            if marker == 0xDA:
+                break
+            at += 1 if marker == 255 else 2 + size
+        return False
+
+    return data.map(stated)

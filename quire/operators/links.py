@@ -37,27 +37,34 @@ def reference_status(refs: DataFrame, entries: DataFrame, manifest: DataFrame, s
 def fallback_end(items: DataFrame, core: list[str], hops: int = 32) -> DataFrame:
     """items(package, id, media_type, fallback) -> package, id, end: the first item of a core type along the fallbacks, null if none within `hops`.
 
-    Pointer doubling: each step joins every open chain with the chain it has reached, so 32 hops take six
-    joins, and a cycle ends with the hops. Each step is written, as a plan of all steps would scan items 64 times.
+    Pointer doubling: each step joins every open chain with the chain it has reached and adds up their lengths, so
+    32 hops take six joins, and a cycle ends with them. What is found farther away than `hops` is dropped. Each
+    step is written, as a plan of all steps would scan items 64 times.
     """
-    now = items.select("package", "id", F.when(F.col("media_type").isin(core), F.col("id")).alias("end"), F.when(~F.col("media_type").isin(core), F.col("fallback")).alias("next"))
+    is_core = F.col("media_type").isin(core)
+    now = items.select("package", "id", F.when(is_core, F.col("id")).alias("end"), F.lit(0).alias("far"), F.when(~is_core, F.col("fallback")).alias("next"), F.lit(1).alias("step"))
     reach = 1
     while reach <= hops:
-        ahead = now.select(F.col("package").alias("p"), F.col("id").alias("i"), F.col("end").alias("e"), F.col("next").alias("n"))
+        ahead = now.select(F.col("package").alias("p"), F.col("id").alias("i"), F.col("end").alias("e"), F.col("far").alias("f"), F.col("next").alias("n"), F.col("step").alias("s"))
         met = now.join(ahead, (F.col("package") == F.col("p")) & (F.col("next") == F.col("i")), "left")
-        now = written(met.select("package", "id", F.coalesce("end", "e").alias("end"), F.when(F.col("end").isNull() & F.col("e").isNull(), F.col("n")).alias("next")), "fallbacks")
+        far = F.when(F.col("end").isNotNull(), F.col("far")).otherwise(F.col("step") + F.col("f"))
+        now = written(met.select("package", "id", F.coalesce("end", "e").alias("end"), far.alias("far"), F.when(F.col("end").isNull() & F.col("e").isNull(), F.col("n")).alias("next"), (F.col("step") + F.col("s")).alias("step")), "fallbacks")
         reach *= 2
-    return now.select("package", "id", "end")
+    return now.select("package", "id", F.when(F.col("far") <= hops, F.col("end")).alias("end"))
 
 
 def contents_at(pages: DataFrame, entries: DataFrame, book: str) -> DataFrame:
     """pages(book, cur), entries(book, ord, page, title) -> the last entry in document order that begins at or before cur.
 
-    Document order, not page order, decides. Entries are joined by book and folded at once, a row a page.
+    Document order, not page order, decides: along a book's pages, the largest ord so far. Pages and entries are
+    put in one column and read in one window, so no page meets every entry. A null cur has no entry.
     """
-    met = pages.join(entries.select(book, "ord", "page", "title"), book, "left")
-    hit = F.when(F.col("page") <= F.col("cur"), F.col("ord"))
-    return met.groupBy(book, "cur").agg(F.max_by("title", hit).alias("title"), F.max(hit).alias("ord"))
+    from pyspark.sql import Window as W
+
+    rows = entries.where("page is not null").select(book, F.col("page").alias("cur"), F.struct("ord", "title").alias("entry"), F.lit(False).alias("asked"))
+    rows = rows.unionByName(pages.select(book, "cur", F.lit(True).alias("asked")), allowMissingColumns=True)
+    last = F.max("entry").over(W.partitionBy(book).orderBy("cur").rangeBetween(W.unboundedPreceding, W.currentRow))
+    return rows.withColumn("last", last).where("asked").select(book, "cur", F.col("last.title").alias("title"), F.col("last.ord").alias("ord"))
 
 
 def repeated(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

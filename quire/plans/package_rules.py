@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quire.functions.paths import css_errors, resolved, url_errors
 from quire.functions.scalars import language_tag_error, normal_space, sniffed_type
 from quire.operators.findings import SEVERITIES, ordered
-from quire.operators.jpegs import jpeg_of
+from quire.operators.jpegs import image_header, jpeg_of
 from quire.operators.links import fallback_end, reference_status
 from quire.session import written
 from quire.sources import packages as P
@@ -37,6 +37,7 @@ CODES = {
 #: Namespaces, vocabularies, media types, and where references stand.
 DC, OPS, XHTML, SVG, MATHML = "http://purl.org/dc/elements/1.1/", "http://www.idpf.org/2007/ops", "http://www.w3.org/1999/xhtml", "http://www.w3.org/2000/svg", "http://www.w3.org/1998/Math/MathML"
 RENDITION, XML = "http://www.idpf.org/2013/rendition", "http://www.w3.org/XML/1998/namespace"
+EVENTS, SSML = "http://www.w3.org/2001/xml-events", "http://www.w3.org/2001/10/synthesis"
 PREFIXES = ("a11y", "dcterms", "marc", "media", "onix", "rendition", "schema", "xsd")
 PROPERTIES = ("cover-image", "mathml", "nav", "remote-resources", "scripted", "svg", "switch", "data-nav", "dictionary", "glossary", "index", "search-key-map")
 VALUES = {"rendition:layout": ("reflowable", "pre-paginated"), "rendition:orientation": ("landscape", "portrait", "auto"), "rendition:spread": ("none", "landscape", "portrait", "both", "auto")}
@@ -78,11 +79,15 @@ def children(elements: DataFrame, parents: DataFrame, local: str | None = None,
     return out.where(F.col("ns") == ns) if ns else out
 
 
+def beneath(elements: DataFrame, name: str = "a_pre") -> DataFrame:
+    """elements, a row for each element above one: its pre under that name."""
+    return elements.withColumn(name, F.explode("above"))
+
+
 def within(elements: DataFrame, ancestors: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Elements that have (left_semi) or lack (left_anti) one of ancestors above them: a range join on pre and post, by document."""
-    a = ancestors.select(F.col("package_id").alias("p"), F.col("doc").alias("d"), F.col("pre").alias("a_pre"), F.col("post").alias("a_post"))
-    above = (F.col("package_id") == F.col("p")) & (F.col("doc") == F.col("d")) & (F.col("a_pre") < F.col("pre")) & (F.col("a_post") > F.col("post"))
-    return elements.join(a, above, how)
+    """Elements that have (left_semi) or lack (left_anti) one of ancestors above them."""
+    met = beneath(elements.select(*DOC, "pre", "above")).join(ancestors.select(*DOC, F.col("pre").alias("a_pre")), [*DOC, "a_pre"], "left_semi")
+    return elements.join(met.select(*DOC, "pre").distinct(), [*DOC, "pre"], how)
 
 
 @dataclass
@@ -282,7 +287,7 @@ def structure_rules(t: Tables) -> list[DataFrame]:
     h = x.where(F.col("ns") == XHTML)
     named = lambda *n: h.where(F.col("local").isin(*n))
     has = lambda a: attr(a).isNotNull()
-    ids = x.where(has("id")).select(*DOC, attr("id").alias("ref"), "pre", "post", "local", "ns", filled("type").alias("type"))
+    ids = x.where(has("id")).select(*DOC, attr("id").alias("ref"), "pre", "above", "local", "ns", filled("type").alias("type"))
     lacking = lambda rows, targets: rows.join(targets.select(*DOC, "ref").distinct(), [*DOC, "ref"], "left_anti")
     ref = lambda rows, a: rows.where(has(a)).withColumn("ref", attr(a))
     each = lambda rows, a: rows.where(has(a)).withColumn("ref", F.explode(tokens(attr(a))))
@@ -291,18 +296,25 @@ def structure_rules(t: Tables) -> list[DataFrame]:
     twice = ids.groupBy(*DOC, "ref").agg(F.count("*").alias("n")).where("n > 1")
     maps = named("map").where(has("name")).withColumn("ref", attr("name"))
     several = maps.groupBy(*DOC, "ref").agg(F.count("*").alias("n")).where("n > 1")
-    options = named("option").where(has("selected")).select(F.col("package_id").alias("p"), F.col("doc").alias("d"), F.col("pre").alias("o_pre"), F.col("post").alias("o_post"))
-    single = named("select").where(~has("multiple"))
-    chosen = single.join(options, (F.col("package_id") == F.col("p")) & (F.col("doc") == F.col("d")) & (F.col("o_pre") > F.col("pre")) & (F.col("o_post") < F.col("post"))).groupBy(*DOC, "pre", "line", "col").agg(F.count("*").alias("n")).where("n > 1")
+    options = beneath(named("option").where(has("selected")).select(*DOC, "above"), "pre")
+    chosen = named("select").where(~has("multiple")).join(options, [*DOC, "pre"]).groupBy(*DOC, "pre", "line", "col").agg(F.count("*").alias("n")).where("n > 1")
     tracks = named("track").where(has("default")).withColumn("nth", F.row_number().over(F_window([*DOC, "parent"], ["pre"]))).where("nth > 1")
     active = ref(x, "aria-activedescendant")
-    below = ids.select(F.col("package_id").alias("p"), F.col("doc").alias("d"), F.col("ref").alias("r"), F.col("pre").alias("o_pre"), F.col("post").alias("o_post"))
+    below = beneath(ids.select(*DOC, "above", "ref"), "pre").drop("above").distinct()
     interactive = h.where(F.col("local").isin("button", "details", "embed", "iframe", "label", "select", "textarea") | ((F.col("local") == "a") & has("href")) | (F.col("local").isin("audio", "video") & has("controls")) | (F.col("local").isin("img", "object") & has("usemap")) | ((F.col("local") == "input") & (filled("type") != "hidden")))
-    # One range join for every forbidden ancestor: what is looked for above an element stands in a list.
-    forbidden = h.where(F.col("local").isin(*INSIDE)).select(*DOC, "pre", "post", "line", "col", F.col("local").alias("inside"), F.explode(F.create_map(*[v for k, a in INSIDE.items() for v in (F.lit(k), F.array(*map(F.lit, a)))])[F.col("local")]).alias("a_local"))
-    forbidden = forbidden.union(interactive.select(*DOC, "pre", "post", "line", "col", "local", F.explode(F.array(F.lit("a"), F.lit("button"))))).distinct()
-    above = h.select(F.col("package_id").alias("p"), F.col("doc").alias("d"), F.col("local").alias("l"), F.col("pre").alias("a_pre"), F.col("post").alias("a_post"))
-    misplaced = forbidden.join(above, (F.col("package_id") == F.col("p")) & (F.col("doc") == F.col("d")) & (F.col("a_local") == F.col("l")) & (F.col("a_pre") < F.col("pre")) & (F.col("a_post") > F.col("post")), "left_semi")
+    # What is looked for above an element stands in a list; the names of the elements above it are joined by their place.
+    forbidden = h.where(F.col("local").isin(*INSIDE)).select(*DOC, "pre", "above", "line", "col", F.col("local").alias("inside"), F.explode(F.create_map(*[v for k, a in INSIDE.items() for v in (F.lit(k), F.array(*map(F.lit, a)))])[F.col("local")]).alias("a_local"))
+    forbidden = forbidden.union(interactive.select(*DOC, "pre", "above", "line", "col", "local", F.explode(F.array(F.lit("a"), F.lit("button"))))).distinct()
+    misplaced = beneath(forbidden).join(h.select(*DOC, F.col("pre").alias("a_pre"), F.col("local").alias("a_local")), [*DOC, "a_pre", "a_local"], "left_semi").dropDuplicates([*DOC, "pre", "inside", "a_local"])
+    metas = named("meta")
+    declared = metas.where(F.lower(filled("http-equiv")) == "content-type")
+    charsets = metas.where(has("charset"))
+    heads = charsets.groupBy(*DOC, "parent").agg(F.min("pre").alias("first"))
+    cells = h.where(has("headers"))
+    tables_above = beneath(cells.select(*DOC, "pre", "above")).join(named("table").select(*DOC, F.col("pre").alias("a_pre")), [*DOC, "a_pre"])
+    titles = beneath(ids.where((F.col("local") == "th") & (F.col("ns") == XHTML)).select(*DOC, "above", "ref")).drop("above")
+    allowed = tables_above.join(titles, [*DOC, "a_pre"]).select(*DOC, "pre", "ref").distinct()
+    spoken = x.where(has(f"{{{SSML}}}ph"))
     relations = x.select(*DOC, "pre", "line", "col", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), attr(a).alias("v")) for a in ("aria-describedby", "aria-flowto", "aria-labelledby", "aria-owns", "aria-controls")])).alias("r")).where("r.v is not null")
     relations = relations.select(*DOC, "pre", "line", "col", F.col("r.a").alias("a"), F.explode(tokens(F.col("r.v"))).alias("ref"))
     roles = h.where(has("role")).withColumn("roles", tokens(attr("role")))
@@ -329,7 +341,14 @@ def structure_rules(t: Tables) -> list[DataFrame]:
         found(roles.withColumn("r", F.explode(F.array_intersect("roles", F.array(F.lit("doc-endnote"), F.lit("doc-biblioentry"))))), "RSC-017", "doc", F.col("r")),
         found(roles.where(has("aria-label") | has("aria-labelledby")).withColumn("r", F.explode(F.array_intersect("roles", F.array(F.lit("doc-pagefooter"), F.lit("doc-pageheader"))))), "RSC-005", "doc", F.col("r")),
         found(lacking(relations, ids).dropDuplicates([*DOC, "pre", "a"]), "RSC-005", "doc", F.col("a")),
-        error(active.join(below, (F.col("package_id") == F.col("p")) & (F.col("doc") == F.col("d")) & (F.col("ref") == F.col("r")) & (F.col("o_pre") > F.col("pre")) & (F.col("o_post") < F.col("post")), "left_anti"), "active descendant"),
+        error(active.join(below, [*DOC, "pre", "ref"], "left_anti"), "active descendant"),
+        error(declared.where(~normal_space(filled("content")).rlike(r"(?i)text/html;\s*charset=utf-8")), "encoding declaration"),
+        error(declared.join(heads, [*DOC, "parent"], "left_semi"), "two kinds of encoding declaration"),
+        error(charsets.join(heads, [*DOC, "parent"]).where("pre > first"), "several charsets"),
+        error(each(cells, "headers").join(allowed, [*DOC, "pre", "ref"], "left_anti").dropDuplicates([*DOC, "pre"]), "headers"),
+        *[error(lacking(ref(x.where(F.col("ns") == MATHML), a), ids), a) for a in ("xref", "indenttarget")],
+        *[error(lacking(ref(x.where((F.col("ns") == OPS) & (F.col("local") == "trigger")), a), ids), a) for a in (f"{{{EVENTS}}}observer", "ref")],
+        error(within(spoken, spoken), "ssml:ph"),
         error(ref(x, "id").join(twice, [*DOC, "ref"], "left_semi"), "duplicate id"),
     ]
 
@@ -337,23 +356,28 @@ def structure_rules(t: Tables) -> list[DataFrame]:
 def resource_rules(t: Tables) -> list[DataFrame]:
     data = t.owners.join(t.files.select("package_id", F.col("name").alias("path"), "content"), ["package_id", "path"])
     css = data.where("media_type = 'text/css'").select("package_id", "path", css_errors("content").alias("e")).where("e.line is not null").select("package_id", "path", F.col("e.line").alias("line"), F.lit(0).alias("col"), F.col("e.reason").alias("reason"))
-    images = data.where("media_type like 'image/%'").select("package_id", "path", "media_type", sniffed_type(F.col("content")).alias("got"))
+    images = data.where("media_type like 'image/%'").select("package_id", "path", "media_type", sniffed_type(F.col("content")).alias("got"), image_header("content").alias("header"))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     fits = reduce(lambda a, b: a | b, [(F.col("got") == k) & ext.isin(*v) for k, v in EXTENSIONS.items()])
     return [
         found(css, "CSS-008", "path", F.col("reason")), found(images.where("got <> media_type"), "OPF-029", "path", line=False),
-        found(images.where("got = ''"), "PKG-021", "path", line=False), found(images.where((F.col("got") != "") & ~fits), "PKG-022", "path", line=False),
+        found(images.where("got = '' or not header"), "PKG-021", "path", line=False), found(images.where("got <> '' and coalesce(header, true)").where(~fits), "PKG-022", "path", line=False),
     ]
 
 
 def check(packages: DataFrame) -> DataFrame:
     """All findings of packages(package_id, content), with severities, in order."""
     t = tables(packages)
-    rules = [*container_rules(t), *metadata_rules(t), *manifest_rules(t), *content_rules(t), *structure_rules(t), *resource_rules(t)]
+    return reported([*container_rules(t), *metadata_rules(t), *manifest_rules(t), *content_rules(t), *structure_rules(t), *resource_rules(t)])
+
+
+def reported(rules: list[DataFrame]) -> DataFrame:
+    """Findings of rules with severities, in order: by place, then as the rules stand in the list."""
     severity = F.create_map(*[F.lit(v) for name, codes in CODES.items() for c in codes for v in (c, SEVERITIES.index(name))])
-    rows = reduce(DataFrame.unionByName, rules).withColumn("severity", severity[F.col("code")])
+    rows = reduce(DataFrame.unionByName, [r.withColumn("emit_seq", F.struct(F.lit(i).alias("rule"), "detail")) for i, r in enumerate(rules)])
+    rows = rows.withColumn("severity", severity[F.col("code")])
     rows = rows.withColumn("severity_name", F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("severity") + 1))
-    return ordered(rows.withColumn("emit_seq", F.xxhash64("code", "detail")), "package_id").drop("emit_seq")
+    return ordered(rows, "package_id").drop("emit_seq")
 
 
 def page_rules(t: Tables, expected: DataFrame) -> list[DataFrame]:
@@ -386,16 +410,17 @@ def page_rules(t: Tables, expected: DataFrame) -> list[DataFrame]:
     ]
 
 
-def strict(packages: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """Rules for packages that this engine writes: storage of `mimetype`, clean metadata, nothing unlisted in the archive.
-
-    With expected, which may have no rows, also page_rules.
-    """
-    t = tables(packages)
+def own_rules(t: Tables) -> list[DataFrame]:
+    """Storage of `mimetype`, values that every parser reads alike, nothing unlisted in the archive."""
     first = t.entries.where("ord = 0 and name = 'mimetype'")
     listed = t.owners.select("package_id", F.col("path").alias("name"))
     spare = t.files.where("name <> 'mimetype' and name not like 'META-INF/%' and name not like '%/'").join(t.rootfiles.select("package_id", F.col("path").alias("name")), ["package_id", "name"], "left_anti")
     x = t.opf.where("pre >= 0")
-    texts = children(x, children(x, x.where("depth = 0"), "metadata")).where(F.col("text") != F.trim("text"))
-    rules = [found(first.where("method <> 0"), "LB-001", line=False), found(first.where("flags & 8 <> 0"), "LB-002", line=False), found(texts, "LB-003", "doc"), found(spare.join(listed, ["package_id", "name"], "left_anti"), "LB-004", "name", line=False)]
-    return reduce(DataFrame.unionByName, rules + (page_rules(t, expected) if expected is not None else []))
+    texts = children(x, children(x, x.where("depth = 0"), "metadata"), "meta").where(filled("property").isin(*VALUES, "dcterms:modified") & F.col("text").rlike(r"^\s|\s$"))
+    return [found(first.where("method <> 0"), "LB-001", line=False), found(first.where("flags & 8 <> 0"), "LB-002", line=False), found(texts, "LB-003", "doc"), found(spare.join(listed, ["package_id", "name"], "left_anti"), "LB-004", "name", line=False)]
+
+
+def strict(packages: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Rules for packages that this engine writes (own_rules). With expected, which may have no rows, also page_rules."""
+    t = tables(packages)
+    return reduce(DataFrame.unionByName, own_rules(t) + (page_rules(t, expected) if expected is not None else []))

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
 from quire.operators import blocks, colours, entropy, findings, geometry, links
+from quire.plans import validation
 from quire.session import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(validation.QUERIES)
+ORACLES: dict[str, str] = dict(validation.ORACLES)
 
 
 def query(sql: str | None = None):
@@ -233,8 +234,10 @@ def reference_status(spark, sf_dir):
     )
 
 
+# Package 0 has chains of up to 69 hops.
 _ITEMS = """items AS (SELECT p_size AS package_id, p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN 'application/xhtml+xml' ELSE 'application/pdf' END AS media_type,
- CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN p_partkey - 50 ELSE p_partkey + 50 END AS fallback FROM part)"""
+ CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN p_partkey - 50 ELSE p_partkey + 50 END AS fallback FROM part
+ UNION ALL SELECT 0, p_partkey, CASE WHEN p_partkey % 70 = 0 THEN 'application/xhtml+xml' ELSE 'application/pdf' END, p_partkey + 1 FROM part)"""
 
 
 @query(f"""WITH RECURSIVE {_ITEMS}, walk AS (SELECT package_id, id AS start, id, media_type, fallback, 0 AS hops FROM items
@@ -243,7 +246,10 @@ SELECT i.package_id, i.id, w.id AS "end" FROM items i LEFT JOIN (SELECT package_
 def fallback_chain(spark, sf_dir):
     """Where each item's chain of fallbacks ends, with cycles cut at 32 hops."""
     k = F.col("p_partkey")
-    items = table(spark, sf_dir, "part").select(F.col("p_size").alias("package"), k.alias("id"), F.when(k % 9 == 0, "application/xhtml+xml").otherwise("application/pdf").alias("media_type"), F.when(k % 5 == 0, None).when(k % 13 == 0, k - 50).otherwise(k + 50).alias("fallback"))
+    kind = lambda n: F.when(k % n == 0, "application/xhtml+xml").otherwise("application/pdf").alias("media_type")
+    parts = table(spark, sf_dir, "part")
+    items = parts.select(F.col("p_size").alias("package"), k.alias("id"), kind(9), F.when(k % 5 == 0, None).when(k % 13 == 0, k - 50).otherwise(k + 50).alias("fallback"))
+    items = items.union(parts.select(F.lit(0), k, kind(70), k + 1))
     return links.fallback_end(items, ["application/xhtml+xml"]).withColumnRenamed("package", "package_id")
 
 
@@ -316,16 +322,27 @@ def dct_blocks(spark, sf_dir):
 SELECT table_id, CAST(('0x' || pair) AS INT) AS symbol, count(*) AS n FROM s WHERE pair <> '' GROUP BY ALL""")
 def symbol_histogram(spark, sf_dir):
     """Byte frequencies by language."""
-    rows = entropy.byte_symbols(table(spark, sf_dir, "documents").select(F.col("lang").alias("table_id"), "text"), "table_id", "text")
-    return entropy.histogram(rows, "table_id", "symbol")
+    return entropy.byte_histogram(table(spark, sf_dir, "documents").select(F.col("lang").alias("table_id"), "text"), "table_id", "text")
 
 
 @query()
 def huffman_lengths(spark, sf_dir):
-    """An optimal code of at most 16 bits for each table; checked by invariants in the tests."""
+    """An optimal code of at most 16 bits for each table; several codes are optimal, so SQL has their totals (code_totals)."""
     return entropy.huffman(symbol_histogram(spark, sf_dir), "table_id", "symbol")
 
 
+@query("""WITH RECURSIVE s AS (SELECT lang AS table_id, unnest(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1,', 'g'), ',')) AS pair FROM documents),
+c AS (SELECT table_id, pair, count(*) AS n FROM s WHERE pair <> '' GROUP BY ALL),
+leaves AS (SELECT table_id, list_sort(list_append(list(CAST(n AS BIGINT)), 0)) AS leaf, count(*) AS symbols FROM c GROUP BY table_id),
+merged AS (SELECT table_id, leaf, symbols, leaf AS level, 1 AS k FROM leaves
+ UNION ALL SELECT table_id, leaf, symbols, list_sort(list_concat(leaf, list_transform(range(1, len(level) // 2 + 1), lambda i: level[2 * i - 1] + level[2 * i]))), k + 1 FROM merged WHERE k < 16)
+SELECT table_id, symbols, CAST(list_sum(level[1:2 * symbols]) AS BIGINT) AS bits, true AS short, true AS free FROM merged WHERE k = 16""")
+def code_totals(spark, sf_dir):
+    """The bits that each table's code spends, against package-merge in SQL; a reserved symbol of frequency 0 keeps a code free."""
+    counts = symbol_histogram(spark, sf_dir)
+    return entropy.code_totals(counts, entropy.huffman(counts, "table_id", "symbol"), "table_id", "symbol")
+
+
 @query("""WITH d AS (SELECT l_suppkey AS scan_id, l_linenumber AS comp, l_orderkey * 1000000 + l_partkey AS blk, CAST(l_partkey % 2048 - 1024 AS BIGINT) AS dc FROM lineitem),
 x AS (SELECT *, dc - coalesce(lag(dc) OVER (PARTITION BY scan_id, comp ORDER BY blk), 0) AS diff FROM d)
 SELECT *, CAST(CASE WHEN diff = 0 THEN 0 ELSE length(ltrim(bin(abs(diff)), '0')) END AS INT) AS category FROM x""")
@@ -397,3 +414,30 @@ def window_idioms(spark, sf_dir):
         F.last(F.when(F.col("event_id") % 3 == 0, F.col("value")), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, 0)).alias("carried"),
         (F.row_number().over(over) == 1).alias("first"), (F.count_if(F.col("event_type") == "click").over(over.rowsBetween(W.unboundedPreceding, -1)) > 0).alias("earlier"),
     )
+
+
+@query("""WITH t AS (SELECT event_id, event_type, user_id, CASE event_id % 3 WHEN 0 THEN 'measuring' WHEN 1 THEN 'rendering' ELSE 'queued' END AS stage, event_id % 50 AS done, event_id % 7 * 10 AS total,
+ '<' || event_type || ' a="' || CAST(user_id AS VARCHAR) || '">&' || chr(39) || props AS markup, event_type || '.' || (CASE event_id % 5 WHEN 0 THEN 'PNG' WHEN 1 THEN 'gif' WHEN 2 THEN 'webp' WHEN 3 THEN 'svg' ELSE 'jpg' END) AS name FROM events),
+p AS (SELECT *, CASE WHEN total > 0 THEN CAST(done AS DOUBLE) / total ELSE 0.0 END AS part FROM t)
+SELECT event_id, CASE stage WHEN 'measuring' THEN 0.1 * part WHEN 'rendering' THEN 0.1 + 0.9 * part ELSE 0.0 END AS progress,
+ replace(replace(replace(replace(replace(markup, '&', '&amp;'), chr(39), '&#39;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;') AS escaped, event_type = 'click' AS clicked,
+ 'ERROR(RSC-' || lpad(CAST(user_id % 7 AS VARCHAR), 3, '0') || '): ' || CASE WHEN event_id % 4 > 0 THEN name || CASE WHEN event_id % 6 > 0 THEN '(' || CAST(event_id % 6 AS VARCHAR) || ',' || CAST(event_id % 3 AS VARCHAR) || ')' ELSE '' END || ': ' ELSE '' END || event_type AS line,
+ CASE event_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/webp' WHEN 3 THEN 'image/svg+xml' ELSE 'image/jpeg' END AS kind FROM p""")
+def text_scalars(spark, sf_dir):
+    """A job's progress, escaped markup, tokens, findings as lines, image types by name."""
+    e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    stage = F.when(e % 3 == 0, "measuring").when(e % 3 == 1, "rendering").otherwise("queued")
+    name = F.concat(kind, F.lit("."), F.element_at(F.array(*map(F.lit, ("PNG", "gif", "webp", "svg", "jpg"))), (e % 5 + 1).cast("int")))
+    code = F.concat(F.lit("RSC-"), F.lpad((u % 7).cast("string"), 3, "0"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", S.progress(stage, e % 50, e % 7 * 10).alias("progress"), S.xml_escaped(F.concat(F.lit("<"), kind, F.lit(' a="'), u.cast("string"), F.lit("\">&'"), "props")).alias("escaped"),
+        S.has_token(F.concat(F.lit(" a  "), kind, F.lit(" b")), "click").alias("clicked"),
+        S.finding_text(F.lit("ERROR"), code, F.when(e % 4 > 0, name).otherwise(""), (e % 6).cast("int"), (e % 3).cast("int"), kind).alias("line"), S.image_type(name).alias("kind"),
+    )
+
+
+@query("""SELECT s_suppkey AS image_id, (2 * i.x + 1) * (300 + s_suppkey) // 40 AS x, (2 * j.y + 1) * (200 + s_nationkey) // 40 AS y FROM supplier, range(0, 20) i(x), range(0, 20) j(y)""")
+def grid_samples(spark, sf_dir):
+    """The places at which an image's background is sampled."""
+    images = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), (F.col("s_suppkey") + 300).alias("w"), (F.col("s_nationkey") + 200).cast("long").alias("h"))
+    return colours.grid(images, "image_id", 20)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTRY = "package_id string, ord int, name string, method int, flags int, extra_len int, crc32 long, size long, content binary, error string"
-ELEMENT = "package_id string, doc string, pre int, post int, parent int, depth int, ns string, local string, attrs map<string,string>, text string, line int, col int, error string"
+ELEMENT = "package_id string, doc string, pre int, post int, parent int, depth int, above array<int>, ns string, local string, attrs map<string,string>, text string, line int, col int, error string"
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
@@ -64,8 +64,8 @@ def files(found: DataFrame) -> DataFrame:
 def elements_of(data: bytes, namespaces: bool = True) -> list[tuple]:
     """Elements in document order with pre and post numbers: a descendant has a larger pre and a smaller post.
 
-    (pre, post, parent, depth, ns, local, attrs, text with descendants' text, line, col, error). A document that is
-    not well formed gives one row, with pre -1 and the error.
+    (pre, post, parent, depth, pres of the elements above it, ns, local, attrs, text with descendants' text, line,
+    col, error). A document that is not well formed gives one row, with pre -1 and the error.
     """
     rows: list[list] = []
     open_: list[int] = []
@@ -76,32 +76,32 @@ def elements_of(data: bytes, namespaces: bool = True) -> list[tuple]:
     def start(name: str, attrs: dict) -> None:
         ns, local = split(name)
         named = {(f"{{{a}}}{b}" if a else b): v for (a, b), v in ((split(k), v) for k, v in attrs.items())}
-        rows.append([len(rows), 0, open_[-1] if open_ else -1, len(open_), ns, local, list(named.items()), [], parser.CurrentLineNumber, parser.CurrentColumnNumber + 1, None])
+        rows.append([len(rows), 0, open_[-1] if open_ else -1, len(open_), [*open_], ns, local, list(named.items()), [], parser.CurrentLineNumber, parser.CurrentColumnNumber + 1, None])
         open_.append(len(rows) - 1)
 
     def end(_: str) -> None:
         i = open_.pop()
         rows[i][1] = count[0]
         count[0] += 1
-        rows[i][7] = "".join(rows[i][7])
+        rows[i][8] = "".join(rows[i][8])
         if open_:
-            rows[open_[-1]][7].append(rows[i][7])
+            rows[open_[-1]][8].append(rows[i][8])
 
     parser.StartElementHandler, parser.EndElementHandler = start, end
-    parser.CharacterDataHandler = lambda s: rows[open_[-1]][7].append(s) if open_ else None
+    parser.CharacterDataHandler = lambda s: rows[open_[-1]][8].append(s) if open_ else None
     try:
         parser.Parse(data, True)
     except expat.ExpatError as e:
-        return [(-1, -1, -1, 0, None, None, [], None, e.lineno, e.offset + 1, expat.errors.messages[e.code])]
+        return [(-1, -1, -1, 0, [], None, None, [], None, e.lineno, e.offset + 1, expat.errors.messages[e.code])]
     except ValueError as e:  # an encoding that Python does not know
-        return [(-1, -1, -1, 0, None, None, [], None, 1, 1, str(e))]
+        return [(-1, -1, -1, 0, [], None, None, [], None, 1, 1, str(e))]
     return [tuple(r) for r in rows]
 
 
 def elements(docs: DataFrame) -> DataFrame:
     """docs(package_id, doc, content) -> a row for each element of each document."""
     names = [c.split()[0] for c in ELEMENT.split(", ")]
-    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string()]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,13 +112,14 @@ def elements(docs: DataFrame) -> DataFrame:
     return docs.select("package_id", "doc", "content").mapInArrow(explode, ELEMENT)
 
 
-def archive(rows: list[tuple[str, bytes, int]]) -> bytes:
-    """An archive of (name, data, method) in order; nothing that depends on the clock."""
+def archive(rows: list[tuple[str, bytes, int]], extra: dict[str, bytes] | None = None) -> bytes:
+    """An archive of (name, data, method) in order, with extra fields by name; nothing that depends on the clock."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for name, data, method in rows:
             info = zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0))
             info.compress_type = method
+            info.extra = (extra or {}).get(name, b"")
             z.writestr(info, data)
     return out.getvalue()
 

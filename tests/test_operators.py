@@ -1,5 +1,9 @@
 import itertools
+import math
+import random
+import re
 import time
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -8,51 +12,93 @@ from pyspark.sql import functions as F
 
 from quire.functions import paths
 from quire.functions import scalars as S
-from quire.operators import blocks, entropy, geometry
+from quire.operators import blocks, entropy, geometry, links
 from quire.streaming import jobs
 
-CANVAS = {
-    "uniform": ([(2400, 1350)] * 41, 2560, (2400, 1350)), "portrait": ([(990, 1530)] * 10, 2560, (990, 1530)),
-    "varying": ([(3795, 2025)] * 58 + [(3514, 2025), (3582, 2025), (3582, 2025), (3591, 2025), (3591, 2025), (3634, 2025)], 2560, (2560, 1366)),
-    "outliers": ([(525, 704)] * 228 + [(525, 706)] * 2 + [(526, 706)] * 2, 2560, (526, 706)), "no cap": ([(4000, 3000)] * 3, 0, (4000, 3000)),
-    "even": ([(1001, 1501)] * 2, 0, (1000, 1500)), "tie": ([(800, 600)] * 2 + [(1600, 1200)] * 2, 0, (1600, 1200)),
-}
+def plain_canvas(pages, edge):
+    """The modal size, grown at its shape until every page fits, capped and made even, in whole numbers."""
+    counts = Counter(pages)
+    mw, mh = max(counts, key=lambda s: (counts[s], s[0] * s[1], s[0]))
+    w = max(max(x, -(-y * mw // mh)) for x, y in pages)
+    h = -(-w * mh // mw)
+    if 0 < edge < max(w, h):
+        w, h = w * edge // max(w, h), h * edge // max(w, h)
+    return max(2, w - w % 2), max(2, h - h % 2)
 
 
-@pytest.mark.parametrize("name", list(CANVAS))
-def test_canvas(spark, name):
-    pages, edge, want = CANVAS[name]
-    got = geometry.canvas(spark.createDataFrame([(1, w, h) for w, h in pages], "b int, w long, h long"), "b", edge).first()
-    assert (got.canvas_w, got.canvas_h) == want
+def test_canvas(spark):
+    r = random.Random(11)
+    books = {i: [(r.choice((700, 701, 1900)) + r.randint(0, 2), r.choice((900, 1203, 40)) + r.randint(0, 1)) for _ in range(r.randint(1, 30))] for i in range(40)}
+    books[40] = [(70, 90)] * 3 + [(90, 70)] * 3  # a tie of equal areas goes to the wider
+    pages = spark.createDataFrame([(i, w, h) for i, p in books.items() for w, h in p], "b int, w long, h long")
+    for edge in (0, 800, 5000):
+        assert {x.b: (x.canvas_w, x.canvas_h) for x in geometry.canvas(pages, "b", edge).collect()} == {i: plain_canvas(p, edge) for i, p in books.items()}
 
 
 def one(spark, *columns, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(*columns).first()
 
 
+def plain_range(spec, total):
+    """(error, pages) of a page range, read part by part."""
+    out, late, parts = set(), False, [p for p in re.split("[,; ]", spec) if p]
+    for p in parts:
+        m = re.fullmatch(r"(\d+)|(\d*)-(\d*)", p, re.ASCII)
+        if not m or p == "-":
+            return "syntax", []
+        first, last = (int(p), int(p)) if m[1] else (int(m[2] or 1), int(m[3] or total))
+        if first < 1 or m[3] and (last < 1 or last < first):
+            return "syntax", []
+        late |= first > total or last > total
+        out |= set(range(first - 1, last))
+    return ("out of range", []) if late else ("", sorted(out) if parts else list(range(total)))
+
+
 def test_page_ranges(spark):
-    good = {"": list(range(10)), "3": [2], "2-4, 7": [1, 2, 3, 6], "8-": [7, 8, 9], "-2": [0, 1], "5,1-2;5 2": [0, 1, 4]}
-    bad = {"0": "syntax", "a": "syntax", "5-2": "syntax", "-": "syntax", "1-x": "syntax", "2--3": "syntax", "11": "out of range", "9-12": "out of range"}
-    df = spark.createDataFrame([(s, 10) for s in [*good, *bad]], "spec string, total int").withColumn("k", F.col("spec"))
+    r = random.Random(12)
+    specs = {"".join(r.choice(["1", "4", "12", "07", "-", "-", ",", ";", " ", "x", "0"]) for _ in range(r.randint(0, 7))) for _ in range(400)} | {"", "6-", "-6", "9,2-4;3 1", "13", "12-13"}
+    df = spark.createDataFrame([(s, 12) for s in specs], "spec string, total int").withColumn("k", F.col("spec"))
     got = {r.k: (r.error, r.pages) for r in geometry.select_pages(df, "k").collect()}
-    assert got == {s: ("", p) for s, p in good.items()} | {s: (e, []) for s, e in bad.items()}
+    assert got == {s: plain_range(s, 12) for s in specs} and {e for e, _ in got.values()} == {"", "syntax", "out of range"}
 
 
 def test_scalars(spark):
-    lumas = {(0xCC, 0, 0): 43, (0xE8, 0xA3, 0x3D): 170, (0x1F, 0x6F, 0xB5): 99, (0x1E, 0x84, 0x49): 106, (0xD0, 0xE0, 0xE3): 221, (0, 0, 0): 0, (255, 255, 255): 255}
-    df = spark.createDataFrame(list(lumas), "r int, g int, b int")
-    assert {(r.r, r.g, r.b): r.y for r in df.withColumn("y", S.luma(F.col("r"), F.col("g"), F.col("b"))).collect()} == lumas
-    fits = {(3514, 2025, 2560, 1366): (2370, 1366), (3795, 2025, 2560, 1366): (2560, 1366), (1000, 500, 400, 400): (400, 200), (500, 1000, 400, 400): (200, 400)}
-    df = spark.createDataFrame(list(fits), "w int, h int, bw int, bh int")
+    r = random.Random(13)
+    colours = {tuple(r.randint(0, 255) for _ in range(3)) for _ in range(200)} | {(0, 0, 0), (255, 255, 255)}
+    df = spark.createDataFrame(list(colours), "r int, g int, b int")
+    assert {(x.r, x.g, x.b): x.y for x in df.withColumn("y", S.luma(F.col("r"), F.col("g"), F.col("b"))).collect()} == {c: round(sum(a * b for a, b in zip(c, (2126, 7152, 722), strict=True)) / 10_000 + 1e-9) for c in colours}
+    sides = [tuple(r.randint(1, 4000) for _ in range(4)) for _ in range(200)]
     w, h = S.fit(*[F.col(c) for c in ("w", "h", "bw", "bh")])
-    assert {tuple(r)[:4]: tuple(r)[4:] for r in df.select("*", w, h).collect()} == fits
-    sizes = {0: "0 B", 1023: "1023 B", 1536: "1.5 KiB", 14592: "14.2 KiB", 5 << 20: "5.0 MiB", 3 << 30: "3.0 GiB"}
+    for x in spark.createDataFrame(sides, "w int, h int, bw int, bh int").select("*", w.alias("fw"), h.alias("fh")).collect():
+        s = min(x.bw / x.w, x.bh / x.h)
+        assert (x.fw, x.fh) == (max(1, min(x.bw, math.floor(x.w * s + 0.5))), max(1, min(x.bh, math.floor(x.h * s + 0.5))))
+    sizes = {7: "7 B", 1000: "1000 B", 2048: "2.0 KiB", 99_000: "96.7 KiB", 7 << 20: "7.0 MiB", 9 << 29: "4.5 GiB"}
     df = spark.createDataFrame([(n,) for n in sizes], "n long")
     assert {r.n: r.s for r in df.withColumn("s", S.human_bytes(F.col("n"))).collect()} == sizes
 
 
+def test_chains_of_fallbacks_end_after_32_hops(spark):
+    rows = [(n, i, "core" if i == n else "other", i + 1) for n in (0, 1, 31, 32, 33, 34, 40, 60, 63, 64, 70) for i in range(n + 1)] + [(-1, 0, "other", 1), (-1, 1, "other", 0)]
+    got = {(r.package, r.id): r.end for r in links.fallback_end(spark.createDataFrame(rows, "package int, id int, media_type string, fallback int"), ["core"]).collect()}
+    assert got == {(n, i): n if n >= 0 and n - i <= 32 else None for n, i, _, _ in rows}
+
+
+def test_contents_of_a_page(spark):
+    r = random.Random(14)
+    entries = [(b, i, r.choice([None, *range(9)]), f"t{b}.{i}") for b in range(6) for i in range(r.randint(0, 12))]
+    pages = [(b, c) for b in range(8) for c in (None, *range(-1, 10))]
+    got = {(x.b, x.cur): (x.ord, x.title) for x in links.contents_at(spark.createDataFrame(pages, "b int, cur int"), spark.createDataFrame(entries, "b int, ord int, page int, title string"), "b").collect()}
+    assert got == {(b, c): max(((o, t) for k, o, p, t in entries if k == b and p is not None and c is not None and p <= c), default=(None, None)) for b, c in pages}
+
+
+def test_byte_histogram(spark):
+    rows = [("a", "xyx"), ("a", None), ("b", ""), (None, "é"), ("a", "x")]
+    got = {(r.k, r.symbol): r.n for r in entropy.byte_histogram(spark.createDataFrame(rows, "k string, t string"), "k", "t").collect()}
+    assert got == {("a", 120): 3, ("a", 121): 1, (None, 0xC3): 1, (None, 0xA9): 1}
+
+
 def test_language_tags(spark):
-    good, bad = ["ur", "ar", "en", "ur-Latn", "en-GB", "zh-Hant-TW", "x-private", "i-klingon", "de-1996", "en-a-bb-x-a"], ["", "u", "this is not", "ur_PK", "-ur", "ur-", "en-a", "en-a-bb-a-cc", "x", "en-x"]
+    good, bad = ["sw", "de-Latn-CH", "es-419", "sl-rozaj-biske", "x-whatever", "zh-min-nan", "i-klingon", "fr-u-ca-x-a", "en-a-bb-b-cc"], ["", "e", "no spaces", "de_CH", "-de", "de-", "de-a", "fr-u-ca-u-co", "x", "de-x", "de--CH", "toolonglanguage"]
     df = spark.createDataFrame([(t,) for t in good + bad], "t string")
     got = {r.t: r.e for r in df.withColumn("e", S.language_tag_error(F.col("t"))).collect()}
     assert all(got[t] == "" for t in good) and all(got[t] for t in bad)

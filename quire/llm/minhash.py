@@ -6,11 +6,15 @@ with one of the right, so SIDE * SIDE tables cost the minima of 2 * SIDE values.
 key of any table are candidates. With similarity s, a link is a candidate with probability
 (1 - (1 - s^ROWS)^SIDE)^2: 0.99995 at s = 0.8, and more above.
 
-Equal sets are folded into one node first, so copies cost a row each and no pairs. Candidates' components are
-cut into units of at most 2 * BLOCK documents: by set size (sizes that differ too much cannot link), then by
-hash; within a unit all pairs are compared exactly as a matrix product over shared shingles, and a unit
-returns a forest of its links. No pair is skipped: any two candidates of one component whose sizes allow a
-link meet in some unit. No step holds a group of unbounded size.
+Equal sets are folded into one node first, so copies cost a row each and no pairs, and take no part in what
+follows. Candidates are compared twice. First each node with the least node of a bucket: the star of a least
+node is cut into units of about BLOCK nodes that all hold it, so the first comparison is linear in the rows, and
+near copies end up in one component. Then only buckets whose nodes are still in several components matter: their
+nodes' groups are cut into units of at most 2 * BLOCK documents, by set size (sizes that differ too much cannot
+link), then by hash; nodes of a group's largest component are not compared with each other again. Within a
+unit all pairs are compared exactly as a matrix product over shared shingles, and a unit returns a forest of its
+links. No pair is skipped: two nodes that share a bucket and could be linked are in one component already or meet
+in some unit. No step holds a group of unbounded size.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing. With fewer
 than k words, the whole sequence is the only shingle. Rows that repeat a doc_id count as one document of
@@ -100,41 +104,57 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(sketch, "doc_id long, n_shingles long, hi long, lo long, left array<long>, right array<long>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """nodes(node, left, right) -> (u, v): each node with the least node of each table's bucket that it shares."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """nodes(node, left, right) -> (node, key), stored: the tables' keys that a node may share with another.
+
+    What is shared is written before it is joined, so that both sides are plain tables and a hot value can be split.
+    """
     values = nodes.select("node", F.explode("left").alias("value"), F.lit(True).alias("is_left")).union(nodes.select("node", F.explode("right"), F.lit(False)))
-    shared = values.groupBy("value").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("value")
     # Only values that some other document has can make a shared key; nearly all documents end here.
+    shared = stored(values.groupBy("value").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("value"), "values")
     sides = values.join(shared, "value").groupBy("node").agg(F.collect_set(F.when(F.col("is_left"), F.col("value"))).alias("l"), F.collect_set(F.when(~F.col("is_left"), F.col("value"))).alias("r"))
     tables = sides.select("node", "r", F.explode("l").alias("x")).select("node", "x", F.explode("r").alias("y")).select("node", F.xxhash64("x", "y").alias("key"))
-    tables = stored(tables, "tables")
-    least = tables.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").select("key", "v")
-    return tables.join(least, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    return stored(tables, "tables")
+
+
+def stars(tables: DataFrame) -> DataFrame:
+    """(node, key) -> (node, unit): each node beside the least of all nodes that are least in one of its buckets."""
+    least = stored(tables.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").select("key", "v"), "least")
+    chosen = stored(tables.join(least, "key").where("node <> v").groupBy("node").agg(F.min("v").alias("v")), "chosen")
+    sizes = stored(chosen.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).alias("chunks")), "stars")
+    members = chosen.join(sizes, "v").select("node", F.xxhash64("v", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("unit"))
+    centres = sizes.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    return members.union(centres.select("v", F.xxhash64("v", "chunk")))
+
+
+def mixed(tables: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, key), (node, label of its component) -> node, own, v, stored: nodes of buckets that hold several components, with a bucket's least node."""
+    known = stored(tables.join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("own")), "owned")
+    open_ = stored(known.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min("node").alias("v")).where("a <> b").select("key", "v"), "open")
+    return stored(known.join(open_, "key").select("node", "own", "v").distinct(), "mixed")
 
 
 def units(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """groups(node, label, n) -> (node, unit): the units of a component in which a node is compared.
+    """groups(node, label, own, n) -> (node, unit): the units of a group in which a node is compared.
 
-    A small component is one unit. A larger one is cut by size into bands (sizes of a link differ by at most
-    den/num, so its ends lie in one band or in neighbouring ones) and each band by hash into blocks; a unit
-    holds two blocks of one band or of neighbouring bands.
+    A small group is one unit. The nodes of a larger one are of several kinds, by size (sizes of a link differ by
+    at most den/num, so its ends lie in one band or in neighbouring ones) and by whether they are of the group's
+    largest component `own`; each kind is cut by hash into blocks. A unit holds two blocks of kinds that can link.
     """
+    sizes = groups.groupBy("label", "own").agg(F.count("*").alias("n_own"))
+    sizes = stored(sizes.groupBy("label").agg(F.sum("n_own").alias("all"), F.max_by("own", F.struct("n_own", "own")).alias("largest")), "groups")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9)
-    sizes = groups.groupBy("label").agg(F.count("*").alias("all"))
-    small = groups.join(sizes.where(F.col("all") <= BLOCK), "label").select("node", F.xxhash64("label").alias("unit"))
-    large = groups.join(sizes.where(F.col("all") > BLOCK), "label").select("node", "label", band.alias("band"))
-    blocks = large.groupBy("label", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    at = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    large = large.join(blocks, ["label", "band"]).select("node", "label", "band", "blocks", at.alias("block"))
-    same = large.select("node", "label", F.col("band").alias("b1"), F.col("band").alias("b2"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    same = same.select("node", F.xxhash64("label", "b1", "b2", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
-    below = blocks.select("label", (F.col("band") - 1).alias("band"), F.col("blocks").alias("more"))
-    above = blocks.select("label", (F.col("band") + 1).alias("band"), F.col("blocks").alias("more"))
-    up = large.join(below, ["label", "band"]).select("node", "label", "band", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("other"))
-    up = up.select("node", F.xxhash64("label", "band", F.col("band") + 1, "block", "other").alias("unit"))
-    down = large.join(above, ["label", "band"]).select("node", "label", "band", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("other"))
-    down = down.select("node", F.xxhash64("label", F.col("band") - 1, "band", "other", "block").alias("unit"))
-    return small.union(same).union(up).union(down).distinct()
+    rows = stored(groups.join(sizes, "label").select("node", "label", "all", F.struct(band.alias("band"), (F.col("own") == F.col("largest")).alias("major")).alias("kind")), "kinds")
+    small = rows.where(F.col("all") <= BLOCK).select("node", F.xxhash64("label").alias("unit"))
+    large = rows.where(F.col("all") > BLOCK)
+    blocks = stored(large.groupBy("label", "kind").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    near = blocks.select("label", F.col("kind").alias("other"), F.col("blocks").alias("more"), F.explode(F.array(*[F.col("kind.band") + i for i in (-1, 0, 1)])).alias("band"))
+    pairs = blocks.withColumn("band", F.col("kind.band")).join(near, ["label", "band"]).where("not (kind.major and other.major)")
+    pairs = stored(pairs.select("label", "kind", "blocks", "other", "more"), "pairs")
+    met = large.select("node", "label", "kind").join(pairs, ["label", "kind"])
+    met = met.select("node", "label", "other", F.struct("kind", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).alias("here"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("block"))
+    there = F.struct(F.col("other").alias("kind"), "block")
+    return small.union(met.select("node", F.xxhash64("label", F.least("here", there), F.greatest("here", there)).alias("unit"))).distinct()
 
 
 def links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -209,16 +229,24 @@ def near_duplicates(docs: DataFrame, k: int, num: int = 80, den: int = 100) -> D
     sig = stored(sketches(docs, k), "sketches")
     known = sig.where("n_shingles > 0 and doc_id is not null")
     nodes = stored(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right")), "nodes")
-    groups = components(candidates(nodes), "candidates")
-    sized = nodes.join(groups, "node").select("node", "label", "n")
-    placed = stored(units(sized, num, den), "units")
-    found = confirmed(docs, placed, k, num, den)
-    # A document hangs on the least document with the same set, and that one on what it links with.
-    folded = known.join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    labels = components(found.union(folded), "links").select(F.col("node").alias("doc_id"), "label")
-    out = sig.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
-    component = F.coalesce("label", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    tables = buckets(nodes)
+    labels = components(confirmed(docs, stored(stars(tables), "units"), k, num, den), "links")
+    left = mixed(tables, labels)
+    groups = components(left.select(F.col("node").alias("u"), "v"), "candidates")
+    again = left.select("node", "own").distinct().join(groups, "node").join(nodes.select("node", "n"), "node")
+    found = confirmed(docs, stored(units(again, num, den), "units"), k, num, den)
+    # A document stands for its set: the least document with the same set is the node. One id with several sets ties them.
+    at = sig.join(nodes.select("hi", "lo", "node"), ["hi", "lo"], "left")
+    at = stored(at.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "placed")
+    several = at.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", F.col("a").alias("v"))
+    tied = at.where("node is not null").join(stored(several, "several"), "doc_id").select(F.col("node").alias("u"), "v")
+    labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(found).union(tied), "components")
+    full = at.where("node is not null").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
+    # A row without a set is alone, unless other rows of its id have one.
+    bare = at.where("node is null").select("doc_id", "n_shingles")
+    own = full.join(bare.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    out = full.union(bare.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id")))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -107,3 +107,22 @@ def test_lines_salted_join_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(lines, "SENT_LINES", -1)
     assert sorted(lines.line_report(docs, "doc_id", "source", "text").collect()) == want and want[0].n_dropped == 1
     assert lines.deduplicated(docs, "source", "text").columns == docs.columns
+
+
+def test_unit_rows_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    placed, plain = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda docs, units, *a: placed.append(units.count()) or plain(docs, units, *a))
+    base = [f"w{i}" for i in range(60)]
+    copy = lambda i: " ".join(base[: i % 60] + [f"only{i}"] + base[i % 60 + 1 :])
+    data = [(i, copy(i)) for i in range(600)] + [(1000 + i, " ".join(base[:45]) + f" {i}" * 20) for i in range(5)]
+    got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(data, 4)
+    assert sum(placed) < 3 * len(data), placed
+
+
+def test_a_repeated_id_ties_its_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    data = [(5, a), (5, b), (5, None), (2, b), (7, c), (9, a), (8, ""), (None, a), (3, c), (3, a)]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 4).collect()}
+    assert got == {(5, 27, 2, False), (5, 0, 2, False), (2, 27, 2, True), (7, 27, 2, False), (9, 27, 2, False), (8, 0, 8, True), (None, 27, None, True), (3, 27, 2, False)}

@@ -47,7 +47,7 @@ OVERLAP = 0.8
 ANSWER = 0.5
 SHINGLE = 5
 K1, B = 1.2, 0.75
-ITEM_BLOCK = 8
+ITEM_BLOCK = 4
 GROUP = 4 << 20  # characters of documents that are searched together
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -96,12 +96,14 @@ class Index:
             np.maximum.at(self.block_most[t], np.array(docs) // ITEM_BLOCK, impacts)
         self.parts = [(*map(shingles, question_and_answer(text)), shingles(w)) for _, w, text in kept]
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """(item number, score) of every item of at least threshold, by block-max WAND over distinct terms."""
-        live = np.flatnonzero(self.block_most[terms].sum(0) >= threshold - 1e-4).tolist()  # single precision
+        bounds = self.block_most[terms]
+        live = (bounds.sum(0) >= threshold - 1e-4).nonzero()[0]  # single precision
         out, end = [], len(self.ids)
-        if not live:
+        if not len(live):
             return out
+        terms, live = terms[bounds[:, live].any(1)].tolist(), live.tolist()  # lists that reach into live blocks
         cursors = []  # current item, term, position
 
         def forward(c: list, item: int) -> None:
@@ -165,7 +167,7 @@ class Index:
         edges = np.searchsorted(segment, np.arange(n + 1))
         found: dict[int, tuple[int, float, int, float, float]] = {}
         for j in np.flatnonzero(windows >= threshold - 1e-9):
-            own, passage = np.unique(term[edges[j] : edges[min(j + 2, n)]]).tolist(), None
+            own, passage = np.unique(term[edges[j] : edges[min(j + 2, n)]]), None
             for item, score in self.search(own, threshold):
                 passage = passage or shingles(w[j * stride : (j + 2) * stride])
                 in_q, in_a, whole = (self._covered(part, passage, w, j) for part in self.parts[item])

@@ -276,6 +276,6 @@ def test_wand_equals_plain_sums():
                 sums[d] = sums.get(d, 0.0) + v
         for threshold in (0.1, 0.3, 0.6):
             want = sorted((d, round(v, 9)) for d, v in sums.items() if v >= threshold - 1e-9)
-            assert sorted((d, round(v, 9)) for d, v in index.search(terms, threshold)) == want
+            assert sorted((d, round(v, 9)) for d, v in index.search(np.array(terms), threshold)) == want
             entered += len(want)
     assert entered

@@ -3,7 +3,7 @@
 `check` takes packages(package_id, content) and returns findings(package_id, code, severity, severity_name, path,
 line, col, detail, place). Archives and XML are opened by Python once per document and kept in the tables of
 Tables; rules are joins, anti-joins and aggregates over them. Where two manifest items claim one path, the
-last in document order owns it. Content models (grammar schemas) are not checked here.
+last in document order owns it. Content models are checked where their grammars are given.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from quire.functions.scalars import language_tag_error, normal_space, sniffed_ty
 from quire.operators.findings import SEVERITIES, ordered
 from quire.operators.jpegs import image_header, jpeg_of
 from quire.operators.links import fallback_end, reference_status
+from quire.operators.relaxng import grammar_findings
 from quire.session import written
 from quire.sources import packages as P
 
@@ -365,10 +366,18 @@ def resource_rules(t: Tables) -> list[DataFrame]:
     ]
 
 
-def check(packages: DataFrame) -> DataFrame:
-    """All findings of packages(package_id, content), with severities, in order."""
+def model_rules(t: Tables, models: dict[str, str]) -> list[DataFrame]:
+    """Well-formed documents against the grammar of their media type; package documents have application/oebps-package+xml."""
+    owned = t.owners.select("package_id", F.col("path").alias("doc"), "media_type").union(t.rootfiles.select("package_id", "path", F.lit("application/oebps-package+xml"))).distinct()
+    parsed = t.html.where("pre = 0").select(*DOC).union(t.opf.where("pre = 0").select(*DOC))
+    docs = owned.join(parsed, DOC, "left_semi").join(t.files.select("package_id", F.col("name").alias("doc"), "content"), DOC)
+    return [grammar_findings(docs.where(F.col("media_type") == kind), source) for kind, source in sorted(models.items())]
+
+
+def check(packages: DataFrame, models: dict[str, str] | None = None) -> DataFrame:
+    """All findings of packages(package_id, content), with severities, in order. models: grammars (RELAX NG, compact) by media type."""
     t = tables(packages)
-    return reported([*container_rules(t), *metadata_rules(t), *manifest_rules(t), *content_rules(t), *structure_rules(t), *resource_rules(t)])
+    return reported([*container_rules(t), *metadata_rules(t), *manifest_rules(t), *content_rules(t), *structure_rules(t), *resource_rules(t), *model_rules(t, models or {})])
 
 
 def reported(rules: list[DataFrame]) -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
-from quire.operators import blocks, colours, entropy, findings, geometry, links
+from quire.operators import blocks, colours, encoder, entropy, findings, geometry, links, relaxng
 from quire.plans import validation
-from quire.session import table
+from quire.session import table, written
+from quire.sources import packages
+from quire.sources.books import written as books_written
 
 QUERIES: dict = dict(validation.QUERIES)
 ORACLES: dict[str, str] = dict(validation.ORACLES)
@@ -441,3 +443,54 @@ def grid_samples(spark, sf_dir):
     """The places at which an image's background is sampled."""
     images = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), (F.col("s_suppkey") + 300).alias("w"), (F.col("s_nationkey") + 200).cast("long").alias("h"))
     return colours.grid(images, "image_id", 20)
+
+
+ORDER_MODEL = """
+default namespace = "urn:order"
+datatypes xsd = "http://www.w3.org/2001/XMLSchema-datatypes"
+start = element order { attribute id { xsd:nonNegativeInteger }, attribute status { "O" | "F" }, element date { xsd:date }, total, element gift { empty }? }
+total = element total { xsd:decimal { maxInclusive = "200000" } }
+"""
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus AS s, CAST(o_totalprice AS DECIMAL(15, 2)) > 200000 AS big, o_orderkey % 7 = 0 AS gift, o_orderkey % 11 = 0 AS undated, o_orderkey % 13 = 0 AS odd, o_orderkey % 17 = 0 AS extra FROM orders),
+f AS (SELECT o_orderkey, unnest([CASE WHEN s NOT IN ('O', 'F') THEN 'value "' || s || '" of attribute "status" is not allowed' END, CASE WHEN s NOT IN ('O', 'F') THEN 'missing attributes: status' END, CASE WHEN odd THEN 'attribute "odd" is not allowed here' END,
+ CASE WHEN undated THEN 'element "total" is not allowed here; expected "date"' END, CASE WHEN undated AND gift THEN 'element "gift" is not allowed here; expected "date"' END, CASE WHEN undated THEN 'element "order" is incomplete; expected "date"' END,
+ CASE WHEN big AND NOT undated THEN 'text is not allowed here; nothing is expected' END, CASE WHEN big AND NOT undated THEN 'element "total" is incomplete; nothing is expected' END,
+ CASE WHEN extra THEN 'element "extra" is not allowed here; ' || CASE WHEN undated THEN 'expected "date"' WHEN gift THEN 'nothing is expected' ELSE 'expected "gift"' END END]) AS detail FROM o)
+SELECT CAST(o_orderkey AS VARCHAR) AS doc, 'RSC-005' AS code, detail FROM f WHERE detail IS NOT NULL""")
+def content_models(spark, sf_dir):
+    """Every order as a document, against a grammar that some of them break."""
+    o, k, none = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.lit("")
+    date = F.when(k % 11 != 0, F.concat(F.lit("<date>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</date>"))).otherwise(none)
+    head = F.concat(F.lit('<order xmlns="urn:order" id="'), k.cast("string"), F.lit('" status="'), "o_orderstatus", F.when(k % 13 == 0, '" odd="1">').otherwise('">'))
+    total = F.concat(F.lit("<total>"), F.col("o_totalprice").cast("decimal(15,2)").cast("string"), F.lit("</total>"))
+    text = F.concat(head, date, total, F.when(k % 7 == 0, "<gift/>").otherwise(none), F.when(k % 17 == 0, "<extra><gift/></extra>").otherwise(none), F.lit("</order>"))
+    docs = o.select(F.lit("orders").alias("package_id"), k.cast("string").alias("doc"), text.cast("binary").alias("content"))
+    return relaxng.grammar_findings(docs, ORDER_MODEL).select(F.col("path").alias("doc"), "code", "detail")
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, 16 + o_orderkey % 3 * 8 AS w, 16 + o_orderkey % 2 * 8 AS h FROM orders),
+s AS (SELECT *, CASE WHEN w > h THEN 'landscape' WHEN h > w THEN 'portrait' ELSE 'auto' END AS shape FROM p)
+SELECT CAST(c_custkey AS VARCHAR) AS package_id, 5 + 2 * count(*) AS entries, 1 + count(*) AS stored, count(*) AS refs, 2 + 2 * count(*) AS items, any_value(c_name) || ' & more' AS title,
+ CASE WHEN count(DISTINCT shape) > 1 THEN count(*) ELSE 0 END AS turned, CASE WHEN count(DISTINCT shape) > 1 THEN 'auto' ELSE min(shape) END AS orientation,
+ CAST(arg_min(w, o_orderkey) AS VARCHAR) || 'x' || CAST(arg_min(h, o_orderkey) AS VARCHAR) AS resolution, c_custkey % 2 = 1 AS rtl
+FROM customer JOIN s ON o_custkey = c_custkey GROUP BY c_custkey""")
+def written_books(spark, sf_dir):
+    """Each customer's orders as the pages of a book, written and read back."""
+    sizes = spark.range(6).select((F.col("id") % 3 * 8 + 16).alias("w"), (F.col("id") % 2 * 8 + 16).alias("h"), F.col("id").alias("image_id"))
+    pixels = F.transform(F.sequence(F.lit(1).cast("long"), F.col("w") * F.col("h")), lambda i: F.lpad(F.hex(i * 5 % 256), 2, "0"))
+    images = encoder.jpegs(sizes.select("image_id", "w", "h", F.lit(1).alias("channels"), F.unhex(F.array_join(pixels, "")).alias("data")))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("page_no"), (F.col("o_orderkey") % 3 * 8 + 16).alias("w"), (F.col("o_orderkey") % 2 * 8 + 16).alias("h"), (F.col("o_orderkey") % 6).alias("image_id"))
+    c = F.col("c_custkey")
+    known = table(spark, sf_dir, "customer").select(c.alias("book_id"), F.concat(F.lit("urn:book:"), c.cast("string")).alias("identifier"), F.concat("c_name", F.lit(" & more")).alias("title"), F.lit("en").alias("language"), F.expr("timestamp'2025-01-02 03:04:05'").alias("modified"), (c % 2 == 1).alias("rtl"))
+    found = written(packages.entries(books_written(known, orders.join(F.broadcast(images), "image_id"))), "books")
+    opf = packages.elements(found.where("name = 'EPUB/package.opf'").select("package_id", F.col("name").alias("doc"), "content"))
+    attr = lambda name: F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
+    meta = lambda key, name, value: F.max(F.when((F.col("local") == "meta") & (attr(key) == name), value))
+    read = opf.groupBy("package_id").agg(
+        F.count_if(F.col("local") == "itemref").alias("refs"), F.count_if(F.col("local") == "item").alias("items"), F.max(F.when(F.col("local") == "title", F.col("text"))).alias("title"), F.count_if((F.col("local") == "itemref") & attr("properties").startswith("rendition:orientation-")).alias("turned"),
+        meta("property", "rendition:orientation", F.col("text")).alias("orientation"), meta("name", "original-resolution", attr("content")).alias("resolution"), F.max((F.col("local") == "spine") & (attr("page-progression-direction") == "rtl")).alias("rtl"),
+    )
+    counts = found.groupBy("package_id").agg(F.count("*").alias("entries"), F.count_if(F.col("method") == 0).alias("stored"))
+    return counts.join(read, "package_id")

@@ -34,6 +34,12 @@ def test_findings_are_in_order_with_severities(spark):
     assert {r.severity_name for r in rows if r.code in ("RSC-016", "PKG-008")} == {"FATAL"}
 
 
+def test_content_models_by_media_type(spark):
+    model = 'default namespace = "http://www.w3.org/1999/xhtml"\nstart = element html { element head { any }, element body { element p { text }* } }\nany = (attribute * { text } | text | element * { any })*'
+    rows = package_rules.check(frame(spark, {"a": zipped(), "b": zipped(body="<ul/>")}), {"application/xhtml+xml": model}).collect()
+    assert {(r.package_id, r.code, r.path) for r in rows} == {(p, "RSC-005", d) for p, d in (("a", corpus.NAV), ("a", corpus.A), ("b", corpus.NAV), ("b", corpus.A), ("b", corpus.B))}
+
+
 def test_elements_know_what_is_above_them():
     rows = P.elements_of(b"<a><b><c/>x</b><d>y</d></a>")
     assert [(r[6], r[4], r[8]) for r in rows] == [("a", [], "xy"), ("b", [0], "x"), ("c", [0, 1], ""), ("d", [0], "y")]

@@ -23,7 +23,9 @@ MAX_PIECE = 80
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _ENDS = tuple(".,;:!?")
 _CUT = re.compile(r" (?=\S)")
-_TWO = re.compile(r"\s\s")
+#: A space and what may follow it that is white space too.
+_TWO = tuple(" " + chr(c) for c in range(0x3001) if chr(c).isspace())
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(MAX_PIECE)]
 
 
 def _byte_letters() -> list[int]:
@@ -41,16 +43,16 @@ class _Words(dict):
         self.model = tokenizer.model
         self.letters = {b: chr(c) for b, c in enumerate(_byte_letters())}
 
-    def encoded(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            shown = word.replace(" ", self.letters[32])
-        else:
-            shown = word.encode().decode("latin-1").translate(self.letters)
-        found = self.model.tokenize(shown)
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+    def encoded(self, shown: str) -> bytes:
+        """ids of a word in the letters that stand for bytes"""
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return _PACK[len(ids)](*ids) if len(ids) < MAX_PIECE else struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        out = self.encoded(word)
+        if word.isascii() and word.isprintable():
+            out = self.encoded(word.replace(" ", self.letters[32]))
+        else:
+            out = self.encoded(word.encode().decode("latin-1").translate(self.letters))
         if len(self) >= MAX_WORDS:
             self.clear()
         if len(word) <= MAX_PIECE:
@@ -99,11 +101,10 @@ class Bpe:
         self.later = _Pieces(self, " ") if self.spaced else self.first
 
     def encode_piece(self, lead: str, piece: str) -> bytes:
-        body, end = (piece[:-1], piece[-1]) if piece[-1:] in _ENDS else (piece, "")
-        if body.isalpha() and (body.isascii() or _PLAIN.fullmatch(body)):  # one word, and one sign at most
-            if end:
-                return (self.later if lead or not self.spaced else self.first)[body] + self.words[end]
-            return self.words.encoded(lead + body if self.spaced else body.lower())
+        if piece.isalpha() and piece.isascii():
+            return self.words.encoded(self.words.letters[32] + piece if lead else piece if self.spaced else piece.lower())
+        if piece[-1:] in _ENDS and (body := piece[:-1]).isalpha() and (body.isascii() or _PLAIN.fullmatch(body)):  # one word and one sign
+            return (self.later if lead or not self.spaced else self.first)[body] + self.words[piece[-1]]
         piece = lead + piece
         if _PLAIN.fullmatch(piece):
             return b"".join(map(self.words.__getitem__, self.words_in(piece if self.spaced else piece.lower())))
@@ -125,7 +126,7 @@ class Bpe:
 
     def _section(self, text: str) -> bytes:
         """ids of a text that holds no special token"""
-        pieces = _CUT.split(text) if self.spaced and _TWO.search(text) else text.split(" ")
+        pieces = _CUT.split(text) if self.spaced and any(s in text for s in _TWO) else text.split(" ")
         if not self.spaced:
             return b"".join(map(self.first.__getitem__, pieces))
         return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))

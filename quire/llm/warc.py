@@ -4,9 +4,10 @@ Writing: each task writes archives of gzip members, one record each. Of equal pa
 MIN_PAYLOAD bytes the one with the smallest page_id is a response, the others are revisits of it.
 Reading: each archive is read back record by record, digests are recomputed, and its captures are sorted
 by (URL key, timestamp, page_id) into a run: a file of small compressed blocks.
-Merging: the key space is cut into ranges at keys of blocks; a task per range merges the runs' blocks of
-that range in a loser tree, reading one block of each run at a time. The result is globally ordered by
-range. Keys hold timestamp and page_id, so one busy URL is cut into ranges as well.
+Merging: while there are more than FAN runs, groups of them are merged into longer ones. Then the key space is
+cut into ranges at keys of blocks; a task per range merges the runs' blocks of that range. Either merge is a
+loser tree that reads one block of each run at a time, so a task holds FAN blocks, whatever the corpus. The
+result is globally ordered by range. Keys hold timestamp and page_id, so one busy URL is cut into ranges as well.
 
 Defined results: a null html is an empty payload. A null url has the key "-". A null page_id is a
 response and is never referred to. Rows that repeat a page_id with the same payload have the same type.
@@ -21,6 +22,7 @@ import json
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import chain
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import files_of, read_file, shared_dir, stored, write_file
 
 MIN_PAYLOAD = 100
-ARCHIVE_BYTES = 64 << 20  # of payload, after which a task starts another archive
+ARCHIVE_BYTES = 64 << 20  # of payload and heads, after which a task starts another archive
+RECORD_BYTES = 512  # of a record's head, about
 RUN_BLOCK = 256  # captures of a run that are compressed together
+FAN = 256  # runs that one loser tree merges
 MERGE_ROWS = 100_000  # captures of a merge range, about
 SPLIT_KEYS = 10_000  # block keys that the driver sees at most when it cuts ranges; only balance depends on it
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -162,7 +166,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             for page_id, url, html, digest, refers_to in zip(*batch.columns, strict=True):
                 payload = (html.as_py() or "").encode()
                 held.append(record(page_id.as_py(), url.as_py(), payload, len(payload), digest.as_py(), refers_to.as_py()))
-                size += len(payload)
+                size += len(payload) + RECORD_BYTES
                 if size >= ARCHIVE_BYTES:
                     yield close()
                     seq, held, size = seq + 1, [], 0
@@ -189,6 +193,33 @@ def _key(row: list) -> list:
     return [row[0], row[1], row[2] is not None, row[2] or 0, row[3], row[4]]
 
 
+class RunWriter:
+    """Writes sorted captures as a run's blocks and keeps their places."""
+
+    def __init__(self, run: str):
+        self.run, self.places, self.at = run, [], 0
+
+    def blocks(self, rows: Iterable[list]) -> Iterator[bytes]:
+        held: list[list] = []
+        for row in chain(rows, [None]):
+            if held and (row is None or len(held) == RUN_BLOCK):
+                block = zlib.compress(json.dumps(held).encode(), 1)
+                self.places.append((self.run, self.at, len(block), json.dumps(_key(held[0])), json.dumps(_key(held[-1])), len(held)))
+                self.at += len(block)
+                yield block
+                held = []
+            if row is not None:
+                held.append(row)
+
+    def write(self, rows: Iterable[list]) -> pa.RecordBatch:
+        write_file(self.run, self.blocks(rows))
+        columns = zip(*self.places, strict=True) if self.places else [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
+
+
+_BLOCK = "run string, offset long, length long, first string, last string, rows long"
+
+
 def write_runs(archives: DataFrame, folder: str) -> DataFrame:
     """Read each archive back into one sorted run; a stored row for each block: run, offset, length, first and last key, rows."""
 
@@ -201,21 +232,39 @@ def write_runs(archives: DataFrame, folder: str) -> DataFrame:
                     stamp = r["date"].translate(str.maketrans("", "", "-T:Z"))
                     rows.append([url_key(r["url"]), stamp, r["page_id"], path, offset, length, r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]])
                 rows.sort(key=_key)
-                run = f"{folder}/{path.rpartition('/')[2]}.run"
-                blocks = [zlib.compress(json.dumps(rows[i : i + RUN_BLOCK]).encode(), 1) for i in range(0, len(rows), RUN_BLOCK)]
-                write_file(run, blocks)
-                ends = [0]
-                for b in blocks:
-                    ends.append(ends[-1] + len(b))
-                tops = range(0, len(rows), RUN_BLOCK)
-                yield pa.RecordBatch.from_pydict({
-                    "run": [run] * len(blocks), "offset": ends[:-1], "length": [len(b) for b in blocks],
-                    "first": [json.dumps(_key(rows[i])) for i in tops], "last": [json.dumps(_key(rows[min(i + RUN_BLOCK, len(rows)) - 1])) for i in tops],
-                    "rows": [min(RUN_BLOCK, len(rows) - i) for i in tops],
-                })
+                yield RunWriter(f"{folder}/{path.rpartition('/')[2]}.run").write(rows)
 
     n = max(1, archives.count())
-    return stored(archives.select("path").repartition(n, "path").mapInArrow(read, "run string, offset long, length long, first string, last string, rows long"), "runs")
+    return stored(archives.select("path").repartition(n, "path").mapInArrow(read, _BLOCK), "runs")
+
+
+def captures_of(run: str, where: list[tuple[int, int]], low: list | None = None, high: list | None = None) -> Iterator[tuple[list, list]]:
+    """(key, capture) of a run's blocks from key low to key high (exclusive), one block in memory."""
+    for offset, length in where:
+        for row in json.loads(zlib.decompress(read_file(run, offset, length))):
+            key = _key(row)
+            if (low is None or key >= low) and (high is None or key < high):
+                yield key, row
+
+
+def longer_runs(blocks: DataFrame, folder: str) -> DataFrame:
+    """blocks of runs -> blocks of FAN runs at most: groups of runs are merged, in several passes if need be."""
+    while (runs := blocks.select("run").distinct().count()) > FAN:
+        groups = -(-runs // min(FAN, -(-runs // FAN) + 1))
+        made = f"{folder}/{runs:09d}"
+
+        def merge(batches: Iterator[pa.RecordBatch], made: str = made) -> Iterator[pa.RecordBatch]:
+            plan: dict[int, dict[str, list[tuple[int, int]]]] = {}
+            for batch in batches:  # places of blocks, not their rows
+                for group, run, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    plan.setdefault(group, {}).setdefault(run, []).append((offset, length))
+            for group in sorted(plan):
+                tree = LoserTree(captures_of(run, sorted(where)) for run, where in sorted(plan[group].items()))
+                yield RunWriter(f"{made}-{group:06d}.run").write(row for _, row in tree)
+
+        group = F.pmod(F.xxhash64("run"), F.lit(groups))
+        blocks = stored(blocks.select(group.alias("group"), "run", "offset", "length").repartition(groups, "group").mapInArrow(merge, _BLOCK), "runs")
+    return blocks
 
 
 def merged(blocks: DataFrame) -> DataFrame:
@@ -237,13 +286,6 @@ def merged(blocks: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["range", "run", "offset", "length"])
 
-    def captures(r: int, run: str, where: list[tuple[int, int]]) -> Iterator[tuple[list, list]]:
-        for offset, length in where:
-            for row in json.loads(zlib.decompress(read_file(run, offset, length))):
-                key = _key(row)
-                if (r == 0 or key >= cuts[r - 1]) and (r == len(cuts) or key < cuts[r]):
-                    yield key, row
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: dict[int, dict[str, list[tuple[int, int]]]] = {}
         for batch in batches:  # places of the blocks of this task's ranges, not their rows
@@ -252,7 +294,7 @@ def merged(blocks: DataFrame) -> DataFrame:
         schema = pa.schema([(n, pa.int64() if n in ("page_id", "offset", "length", "payload_bytes", "refers_to") else pa.string()) for n in _NAMES])
         for r in sorted(plan):
             out = []
-            for _, row in LoserTree(captures(r, run, sorted(where)) for run, where in sorted(plan[r].items())):
+            for _, row in LoserTree(captures_of(run, sorted(where), cuts[r - 1] if r else None, cuts[r] if r < len(cuts) else None) for run, where in sorted(plan[r].items())):
                 out.append(row)
                 if len(out) == 8192:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -268,5 +310,5 @@ def capture_histories(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write pages as archives into the shared folder, read them back and merge their capture index."""
     folder = shared_dir(spark, "warc")
     archives = write_archives(pages, f"{folder}/archives")
-    history = merged(write_runs(archives, f"{folder}/runs"))
+    history = merged(longer_runs(write_runs(archives, f"{folder}/runs"), f"{folder}/merged"))
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive", "offset", "length")

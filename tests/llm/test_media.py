@@ -72,6 +72,26 @@ def test_merge_ranges_and_blocks(spark, monkeypatch):
     assert len(got) == len(PAGES) and keys == sorted(keys)
 
 
+def test_many_runs_are_merged_in_passes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    want = sorted(map(str, warc.capture_histories(spark, pages).drop("archive", "offset", "length").collect()))
+    monkeypatch.setattr(warc, "FAN", 3)
+    runs = warc.write_runs(warc.write_archives(pages, f"file://{tmp_path}/a"), f"file://{tmp_path}/r")
+    assert runs.select("run").distinct().count() > 9
+    few = warc.longer_runs(runs, f"file://{tmp_path}/m")
+    assert few.select("run").distinct().count() <= 3 and few.agg({"rows": "sum"}).first()[0] == len(PAGES)
+    got = warc.merged(few).collect()
+    assert sorted(str(r) for r in warc.merged(few).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp").collect()) == want
+    assert [(r.url_key, r.timestamp) for r in got] == sorted((r.url_key, r.timestamp) for r in got)
+
+
+def test_empty_payloads_close_archives(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4096)
+    pages = spark.createDataFrame([(i, f"u{i}", None) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    assert warc.write_archives(pages, f"file://{tmp_path}/a").count() > 1
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 20)), max_size=9))
 def test_loser_tree(runs):

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import split_of
+from quire.llm.common import split_of, stored
 
 N_GRAMS = (1, 2, 3)
 DIM = 4096
@@ -29,6 +30,7 @@ SAMPLE = 800
 CENTROIDS = 3
 SHARPNESS = 12.0  # of the score: softmax of cosines times this
 UNKNOWN = "und"
+TASKS = 64  # that add up frequencies
 MAX_LANGS = 500  # languages that a model may hold; more is an error, not a cut
 
 #: ASCII white space is one kind of space; ASCII digits and signs are left out, as they are of no language.
@@ -95,7 +97,12 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def train(labelled: DataFrame) -> Model:
-    """labelled(doc_id, text, lang), null langs and ids left out -> a model. Two light passes, one over the sample's texts."""
+    """labelled(doc_id, text, lang), null langs and ids left out -> a model. Two light passes, one over the sample's texts.
+
+    The sample stays sparse and in tasks: frequencies are added up, and each language is clustered in a task of
+    its own, which holds its SAMPLE. The driver sees a row for each centroid. Rows are taken in order of doc_id and
+    text, and languages that score alike in that of their names.
+    """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
@@ -116,21 +123,35 @@ def train(labelled: DataFrame) -> Model:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["doc_id", "lang", "at", "n"])
 
-    found = picked.select("doc_id", "lang", "text").mapInArrow(sparse, "doc_id long, lang string, at binary, n binary").collect()
-    found.sort(key=lambda r: (r[1], r[0], bytes(r[2])))
-    x = np.zeros((len(found), DIM), np.float32)
-    for i, r in enumerate(found):
-        x[i, np.frombuffer(r[2], "<u2")] = np.frombuffer(r[3], "<f4")
-    langs = np.array([r[1] for r in found], object)
-    model = Model(np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1, np.zeros((0, DIM)), [], {})
-    x = model.vectors(x)
-    means = []
-    for lang in sorted(set(langs)):
-        own = x[langs == lang]
-        means.append(_clusters(own, CENTROIDS))
-        model.langs += [lang] * len(means[-1])
-        model.floors[lang] = 0.8 * float(np.quantile((own @ means[-1].T).max(1), 0.01))
-    model.centroids = np.concatenate(means) if means else model.centroids
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(DIM, np.int64)
+        for batch in batches:
+            for at in batch.column(0):
+                n += 1
+                df[np.frombuffer(at.as_buffer(), "<u2")] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df.tobytes()], pa.binary())], ["n", "df"])
+
+    sample = stored(picked.select("doc_id", "lang", "text").mapInArrow(sparse, "doc_id long, lang string, at binary, n binary"), "languages")
+    sums = sample.select("at").coalesce(TASKS).mapInArrow(frequencies, "n long, df binary").collect()
+    total, df = sum(r["n"] for r in sums), sum((np.frombuffer(r["df"], np.int64) for r in sums), np.zeros(DIM, np.int64))
+    model = Model(np.log((1 + total) / (1 + df)) + 1, np.zeros((0, DIM)), [], {})
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(range(len(pdf)), key=lambda i: (pdf["doc_id"].iloc[i], pdf["at"].iloc[i], pdf["n"].iloc[i]))
+        x = np.zeros((len(pdf), DIM), np.float32)
+        for row, i in enumerate(order):
+            x[row, np.frombuffer(pdf["at"].iloc[i], "<u2")] = np.frombuffer(pdf["n"].iloc[i], "<f4")
+        x = model.vectors(x)
+        means = _clusters(x, CENTROIDS)
+        floor = 0.8 * float(np.quantile((x @ means.T).max(1), 0.01))
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(means), "place": range(len(means)), "mean": [m.astype("<f8").tobytes() for m in means], "floor": floor})
+
+    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, place int, mean binary, floor double").collect()
+    for r in sorted(found, key=lambda r: (r["lang"], r["place"])):
+        model.langs.append(r["lang"])
+        model.floors[r["lang"]] = r["floor"]
+    if found:
+        model.centroids = np.stack([np.frombuffer(r["mean"], "<f8") for r in sorted(found, key=lambda r: (r["lang"], r["place"]))])
     return model
 
 

@@ -218,7 +218,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) ->
             kept = [batch.column(i) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(s[:, 4] + nth // s[:, 3]), pa.array(s[:, 5] + nth % s[:, 3] * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = pieces.join(bases, (F.col("length") == F.col("b_length")) & (F.col("part") == F.col("b_part")))
+    # A row for each length and partition grows with the pieces, so it is joined by shuffle, not sent.
+    ranked = pieces.join(bases.hint("merge"), (F.col("length") == F.col("b_length")) & (F.col("part") == F.col("b_part")))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
     return ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 

@@ -176,3 +176,39 @@ def sniffed_type(data: Column) -> Column:
         .when(early.rlike("^(..)*3C737667"), "image/svg+xml")
         .otherwise("")
     )
+
+
+def viewport_size(content: Column) -> Column:
+    """struct(w, h) of a viewport such as `width=10, height=20`: parts at commas and semicolons, the last of a name; 0 where there is no whole number."""
+
+    def side(name: str) -> Column:
+        own = F.filter(F.split(content, "[,;]"), lambda p: F.trim(F.substring_index(p, "=", 1)) == name)
+        value = F.trim(F.regexp_replace(F.element_at(own, -1), "^[^=]*=?", ""))
+        return F.when(F.size(own) > 0, F.coalesce(F.when(value.rlike("^[+-]?[0-9]+$"), value.try_cast("long")), F.lit(0))).otherwise(0).cast("long")
+
+    return F.struct(side("width").alias("w"), side("height").alias("h"))
+
+
+def message(template: Column, args: list[Column]) -> Column:
+    """`%1$s` and the like filled in by number; a missing argument is empty."""
+    marked = F.regexp_replace(template, r"%(\d+)\$s", "\x01$1\x02")  # so that what is filled in is not filled in again
+    for i, a in enumerate(args, 1):
+        marked = F.replace(marked, F.lit(f"\x01{i}\x02"), F.coalesce(a.cast("string"), F.lit("")))
+    return F.regexp_replace(marked, "\x01\\d+\x02", "")
+
+
+def book_file(name: Column) -> Column:
+    """The package's file name for a document's."""
+    return F.concat(without_extension(name), F.lit(".epub"))
+
+
+def screen_fill(w: Column, h: Column, screen_w: Column, screen_h: Column) -> Column:
+    """struct(fill, turn): percent of a screen that a fitted page covers, half up; turn it when under 70 and the long sides differ."""
+    k = F.least(screen_w.cast("double") / w, screen_h.cast("double") / h)
+    fill = F.floor(100 * (w * k) * (h * k) / (screen_w.cast("double") * screen_h) + 0.5).cast("int")
+    return F.struct(fill.alias("fill"), ((fill < 70) & ((w > h) != (screen_w > screen_h))).alias("turn"))
+
+
+def whole_characters(data: Column) -> Column:
+    """UTF-8 bytes as text, without a character that is cut off at the end."""
+    return F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(data.cast("string"))), "\ufffd+$", "")

@@ -40,3 +40,13 @@ def normalised(findings: DataFrame, package: str) -> DataFrame:
 def compared(got: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows that only one side has, with `side`: extra or missing. Counts of equal rows matter."""
     return got.exceptAll(wanted).withColumn("side", F.lit("extra")).unionByName(wanted.exceptAll(got).withColumn("side", F.lit("missing")))
+
+
+def first_lines(lines: DataFrame, package: str, order: str, line: str, n: int = 5, size: int = 200) -> DataFrame:
+    """The first n lines of each package, each cut after `size` bytes with `...` behind; a character that is cut is left out."""
+    from quire.functions.scalars import whole_characters
+
+    place = F.row_number().over(W.partitionBy(package).orderBy(order))
+    data = F.col(line).cast("binary")
+    short = F.when(F.octet_length(line) > size, F.concat(whole_characters(F.substring(data, 1, size)), F.lit("..."))).otherwise(F.col(line))
+    return lines.select(package, order, short.alias(line), place.alias("place")).where(F.col("place") <= n)

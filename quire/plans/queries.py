@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
-from quire.operators import blocks, colours, encoder, entropy, findings, geometry, links, relaxng
-from quire.plans import validation
+from quire.operators import blocks, colours, encoder, entropy, findings, geometry, links, preview, relaxng
+from quire.plans import package_rules, validation
 from quire.session import table, written
 from quire.sources import packages
 from quire.sources.books import written as books_written
@@ -470,6 +470,17 @@ def content_models(spark, sf_dir):
     return relaxng.grammar_findings(docs, ORDER_MODEL).select(F.col("path").alias("doc"), "code", "detail")
 
 
+def _books_of_customers(spark, sf_dir):
+    """package_id, content: each customer's orders as the pages of a book."""
+    sizes = spark.range(6).select((F.col("id") % 3 * 8 + 16).alias("w"), (F.col("id") % 2 * 8 + 16).alias("h"), F.col("id").alias("image_id"))
+    pixels = F.transform(F.sequence(F.lit(1).cast("long"), F.col("w") * F.col("h")), lambda i: F.lpad(F.hex(i * 5 % 256), 2, "0"))
+    images = encoder.jpegs(sizes.select("image_id", "w", "h", F.lit(1).alias("channels"), F.unhex(F.array_join(pixels, "")).alias("data")))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("page_no"), (F.col("o_orderkey") % 3 * 8 + 16).alias("w"), (F.col("o_orderkey") % 2 * 8 + 16).alias("h"), (F.col("o_orderkey") % 6).alias("image_id"))
+    c = F.col("c_custkey")
+    known = table(spark, sf_dir, "customer").select(c.alias("book_id"), F.concat(F.lit("urn:book:"), c.cast("string")).alias("identifier"), F.concat("c_name", F.lit(" & more")).alias("title"), F.lit("en").alias("language"), F.expr("timestamp'2025-01-02 03:04:05'").alias("modified"), (c % 2 == 1).alias("rtl"))
+    return books_written(known, orders.join(F.broadcast(images), "image_id"))
+
+
 @query("""WITH p AS (SELECT o_custkey, o_orderkey, 16 + o_orderkey % 3 * 8 AS w, 16 + o_orderkey % 2 * 8 AS h FROM orders),
 s AS (SELECT *, CASE WHEN w > h THEN 'landscape' WHEN h > w THEN 'portrait' ELSE 'auto' END AS shape FROM p)
 SELECT CAST(c_custkey AS VARCHAR) AS package_id, 5 + 2 * count(*) AS entries, 1 + count(*) AS stored, count(*) AS refs, 2 + 2 * count(*) AS items, any_value(c_name) || ' & more' AS title,
@@ -478,13 +489,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS package_id, 5 + 2 * count(*) AS entries, 1
 FROM customer JOIN s ON o_custkey = c_custkey GROUP BY c_custkey""")
 def written_books(spark, sf_dir):
     """Each customer's orders as the pages of a book, written and read back."""
-    sizes = spark.range(6).select((F.col("id") % 3 * 8 + 16).alias("w"), (F.col("id") % 2 * 8 + 16).alias("h"), F.col("id").alias("image_id"))
-    pixels = F.transform(F.sequence(F.lit(1).cast("long"), F.col("w") * F.col("h")), lambda i: F.lpad(F.hex(i * 5 % 256), 2, "0"))
-    images = encoder.jpegs(sizes.select("image_id", "w", "h", F.lit(1).alias("channels"), F.unhex(F.array_join(pixels, "")).alias("data")))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("page_no"), (F.col("o_orderkey") % 3 * 8 + 16).alias("w"), (F.col("o_orderkey") % 2 * 8 + 16).alias("h"), (F.col("o_orderkey") % 6).alias("image_id"))
-    c = F.col("c_custkey")
-    known = table(spark, sf_dir, "customer").select(c.alias("book_id"), F.concat(F.lit("urn:book:"), c.cast("string")).alias("identifier"), F.concat("c_name", F.lit(" & more")).alias("title"), F.lit("en").alias("language"), F.expr("timestamp'2025-01-02 03:04:05'").alias("modified"), (c % 2 == 1).alias("rtl"))
-    found = written(packages.entries(books_written(known, orders.join(F.broadcast(images), "image_id"))), "books")
+    found = written(packages.entries(_books_of_customers(spark, sf_dir)), "books")
     opf = packages.elements(found.where("name = 'EPUB/package.opf'").select("package_id", F.col("name").alias("doc"), "content"))
     attr = lambda name: F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
     meta = lambda key, name, value: F.max(F.when((F.col("local") == "meta") & (attr(key) == name), value))
@@ -494,3 +499,57 @@ def written_books(spark, sf_dir):
     )
     counts = found.groupBy("package_id").agg(F.count("*").alias("entries"), F.count_if(F.col("method") == 0).alias("stored"))
     return counts.join(read, "package_id")
+
+
+def _model_books(spark, sf_dir):
+    """Books of written_books, as tables."""
+    return package_rules.tables(_books_of_customers(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, 16 + o_orderkey % 3 * 8 AS w, 16 + o_orderkey % 2 * 8 AS h FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT CAST(o_custkey AS VARCHAR) AS package_id, n - 1 AS page, 'EPUB/pages/' || lpad(CAST(n AS VARCHAR), 3, '0') || '.xhtml' AS doc, w, h, 'EPUB/images/' || lpad(CAST(n AS VARCHAR), 3, '0') || '.jpg' AS image, CAST(n AS VARCHAR) AS label FROM p""")
+def book_previews(spark, sf_dir):
+    """Pages of written books with their images, sizes and labels."""
+    return preview.pages(_model_books(spark, sf_dir))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS package_id, CAST(n AS INT) AS place, 0 AS depth, CAST(n AS VARCHAR) AS title, n - 1 AS page
+FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey)""")
+def preview_contents(spark, sf_dir):
+    """Contents entries of written books and the pages that they lead to."""
+    return preview.contents(_model_books(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_custkey WHEN 1 THEN 0 WHEN 2 THEN 7 WHEN 3 THEN 0 ELSE o_custkey END AS w, CASE o_orderkey % 5 WHEN 0 THEN 20 WHEN 1 THEN o_custkey WHEN 2 THEN 9 WHEN 3 THEN 0 ELSE -5 END AS h FROM orders""")
+def viewport_sizes(spark, sf_dir):
+    """Sizes that viewports state, read leniently."""
+    k, c = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    content = F.when(k == 0, F.concat(F.lit("width="), c, F.lit(", height=20"))).when(k == 1, F.concat(F.lit(" height = "), c, F.lit(" ; width=wide"))).when(k == 2, "width=1,width=7;height=9,x=3").when(k == 3, "Width=4, height").otherwise(F.concat(F.lit("height=-5,, width=\t"), c))
+    size = S.viewport_size(F.regexp_replace(content, "\t", " "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", size["w"].alias("w"), size["h"].alias("h"))
+
+
+@query("""WITH l AS (SELECT source, doc_id, 'line ' || repeat(CAST(doc_id % 10 AS VARCHAR), CAST(150 + doc_id % 100 AS INT)) AS line FROM documents)
+SELECT source, doc_id, CASE WHEN strlen(line) > 200 THEN line[1:200] || '...' ELSE line END AS line, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM l) WHERE place <= 5""")
+def report_lines(spark, sf_dir):
+    """The first lines of each report, cut at 200 bytes."""
+    line = F.concat(F.lit("line "), F.expr("repeat(cast(doc_id % 10 as string), cast(150 + doc_id % 100 as int))"))
+    return findings.first_lines(table(spark, sf_dir, "documents").select("source", "doc_id", line.alias("line")), "source", "doc_id", "line")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'the ' || event_type || ' of ' || CAST(user_id AS VARCHAR) || ', ' || event_type WHEN 1 THEN CAST(user_id AS VARCHAR) || ' before ' || event_type || ' and ' ELSE 'none' END AS line,
+ event_type || '.v' || CAST(user_id AS VARCHAR) || '.epub' AS book FROM events""")
+def message_texts(spark, sf_dir):
+    """Messages filled in, file names of books."""
+    k, u = F.col("event_id") % 3, F.col("user_id")
+    template = F.when(k == 0, "the %1$s of %2$s, %1$s").when(k == 1, "%2$s before %1$s and %3$s").otherwise("none")
+    name = F.concat("event_type", F.lit(".v"), u.cast("string"), F.lit(".pdf"))
+    return table(spark, sf_dir, "events").select("event_id", S.message(template, [F.col("event_type"), u]).alias("line"), S.book_file(name).alias("book"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, CAST(400 + l_partkey % 900 AS DOUBLE) AS w, CAST(300 + l_suppkey * 37 % 1200 AS DOUBLE) AS h FROM lineitem), k AS (SELECT *, least(1072.0::DOUBLE / w, 1448.0::DOUBLE / h) AS k FROM p),
+f AS (SELECT *, CAST(floor(100 * (w * k) * (h * k) / (1072.0::DOUBLE * 1448) + 0.5) AS INT) AS fill FROM k) SELECT l_orderkey, l_linenumber, fill, fill < 70 AND w > h AS turn FROM f""")
+def screen_fills(spark, sf_dir):
+    """How much of an upright screen each page fills, and whether to turn it."""
+    fill = S.screen_fill(400 + F.col("l_partkey") % 900, 300 + F.col("l_suppkey") * 37 % 1200, F.lit(1072), F.lit(1448))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fill["fill"].alias("fill"), fill["turn"].alias("turn"))

@@ -62,3 +62,27 @@ def test_written_books_have_no_findings(spark):
     opf = {r.package_id: r.content.decode() for r in package_rules.tables(found).files.where("name = 'EPUB/package.opf'").collect()}
     assert "A &amp; &lt;B&gt;" in opf["1"] and "rtl" not in opf["1"] and "2025-01-02T03:04:05Z" in opf["1"] and ">landscape<" in opf["1"]
     assert 'direction="rtl"' in opf["2"] and "horizontal-rl" in opf["2"] and [opf["2"].index(f"orientation-{x}") for x in ("portrait", "landscape", "auto")] == sorted(opf["2"].index(f"orientation-{x}") for x in ("portrait", "landscape", "auto"))
+
+
+def test_contents_that_lead_nowhere_go_with_what_they_hold(spark):
+    from quire.operators import preview
+    from quire.plans import corpus
+    from quire.sources import packages as P
+
+    toc = '<nav epub:type="toc"><ol><li><a href="pages/a.xhtml#x"> A  <b>one</b></a><ol><li><a href="pages/b.xhtml">B</a></li></ol></li><li><a href="none.xhtml">gone</a><ol><li><a href="pages/a.xhtml">lost</a></li></ol></li><li><span>no link</span></li></ol></nav>'
+    labels = '<nav epub:type="page-list"><ol><li><a href="pages/b.xhtml">ii</a></li><li><a href="pages/b.xhtml">iii</a></li></ol></nav>'
+    data = P.archive([(n, d, 0) for n, d in corpus.parts(toc=toc + labels, view='<meta name="viewport" content="width=5"/>', body='<svg xmlns="http://www.w3.org/2000/svg"><image xmlns:l="http://www.w3.org/1999/xlink" l:href="../art/one.png"/></svg>')])
+    t = package_rules.tables(spark.createDataFrame([("p", bytearray(data))], "package_id string, content binary"))
+    assert [(r.place, r.depth, r.title, r.page) for r in preview.contents(t).orderBy("place").collect()] == [(1, 0, "A one", 0), (2, 1, "B", 1)]
+    assert [(r.page, r.w, r.h, r.image, r.label) for r in preview.pages(t).orderBy("page").collect()] == [(0, 120, 90, corpus.ART, "1"), (1, 5, 0, corpus.ART, "iii")]
+
+
+def test_reports_and_messages(spark):
+    from quire.functions import scalars as S
+    from quire.operators import findings
+
+    rows = [("p", i, "é" * (100 + i)) for i in range(3)] + [("p", 5, "x" * 199 + "é")] + [("q", i, "short") for i in range(7)]
+    got = findings.first_lines(spark.createDataFrame(rows, "p string, i int, line string"), "p", "i", "line", n=4).collect()
+    assert {(r.p, r.i): r.line for r in got} == {("p", 0): "é" * 100, ("p", 1): "é" * 100 + "...", ("p", 2): "é" * 100 + "...", ("p", 5): "x" * 199 + "..."} | {("q", i): "short" for i in range(4)}
+    df = spark.createDataFrame([("%1$s %2$s", "%2$s", None), ("%3$s|%1$s%1$s", "a", "b"), (None, "a", "b")], "t string, a string, b string")
+    assert [r[0] for r in df.select(S.message(F.col("t"), [F.col("a"), F.col("b")])).collect()] == ["%2$s ", "|aa", None]

@@ -8,6 +8,7 @@ every sync byte and every continuity counter, and reassembles the elementary str
 Defined results: a null text counts as empty; an empty payload is padded to 64 zero bytes; rows are kept
 one for one whatever doc_id holds (null and repeated ids too); an empty table gives no rows; other columns
 are ignored. A damaged stream is described, not fatal: errors are counted and damaged units are left out.
+Texts are taken whole, however long: a task holds one stream and what is reassembled from it.
 """
 
 from __future__ import annotations

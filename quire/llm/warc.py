@@ -11,7 +11,8 @@ result is globally ordered by range. Keys hold timestamp and page_id, so one bus
 
 Defined results: a null html is an empty payload. A null url has the key "-". A null page_id is a
 response and is never referred to. Rows that repeat a page_id with the same payload have the same type.
-An empty table gives no archive and no row. Other columns are ignored.
+An empty table gives no archive and no row. Other columns are ignored. Pages are taken whole, however long: a
+task holds one record at a time besides the compressed records of an archive.
 """
 
 from __future__ import annotations

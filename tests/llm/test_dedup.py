@@ -126,3 +126,9 @@ def test_a_repeated_id_ties_its_texts(spark):
     data = [(5, a), (5, b), (5, None), (2, b), (7, c), (9, a), (8, ""), (None, a), (3, c), (3, a)]
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 4).collect()}
     assert got == {(5, 27, 2, False), (5, 0, 2, False), (2, 27, 2, True), (7, 27, 2, False), (9, 27, 2, False), (8, 0, 8, True), (None, 27, None, True), (3, 27, 2, False)}
+
+
+def test_joined_candidates_give_the_same(spark, monkeypatch):
+    want = sorted(map(str, minhash.near_duplicates(documents(spark), 4).collect()))
+    monkeypatch.setattr(minhash, "SENT_ROWS", -1)
+    assert sorted(map(str, minhash.near_duplicates(documents(spark), 4).collect())) == want

@@ -142,6 +142,36 @@ def test_languages(spark):
     assert langid.identify(empty(spark)).count() == 0
 
 
+def test_languages_equal_plain_cosines(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    assert [sorted(set(model.langs))[0], len(model.langs)] == ["de", 12]
+
+    def plain(text):
+        grams = Counter()
+        data = bytes(32 if b in b"\t\n\v\f\r" else b for b in text.lower().encode() if b >= 128 or chr(b).isalpha() or b in b"\t\n\v\f\r ")
+        for n in (1, 2, 3):
+            for i in range(len(data) - n + 1):
+                h = 0
+                for b in data[i : i + n]:
+                    h = (h * 257 + b + 1) % 2**32
+                grams[h * 2654435761 % 2**32 >> 20] += 1
+        v = {k: c * model.idf[k] for k, c in grams.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * m[k] for k, x in v.items()) / norm for m in model.centroids]
+        best = {lang: max(c for c, x in zip(cos, model.langs, strict=True) if x == lang) for lang in model.langs}
+        top = min(best, key=lambda x: (-best[x], x))
+        return top, 1 / sum(math.exp((b - best[top]) * langid.SHARPNESS) for b in best.values()), best[top], best[top] < model.floors[top]
+
+    rows_of = {i: t for i, t in [(r[0], r[1]) for r in rows()][:60] if i is not None and len(t or "") < 5000}
+    got = langid.predict(spark.createDataFrame(list(rows_of.items()), "doc_id long, text string"), model).collect()
+    for r in got:
+        if langid.has_letter(rows_of[r.doc_id]):
+            lang, score, cosine, rejected = plain(rows_of[r.doc_id])
+            assert (r.lang_pred, r.rejected) == (lang, rejected) and r.score == pytest.approx(score, abs=1e-5) and r.cosine == pytest.approx(cosine, abs=1e-5)
+    assert len({r.lang_pred for r in got}) > 2
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels, "doc_id").toPandas()

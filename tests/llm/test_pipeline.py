@@ -94,3 +94,11 @@ def test_awkward_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF).cache()
         assert docs.count() > 0, name
+
+
+def test_empty_documents_give_no_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and out.columns == docs.columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0

@@ -212,3 +212,8 @@ def screen_fill(w: Column, h: Column, screen_w: Column, screen_h: Column) -> Col
 def whole_characters(data: Column) -> Column:
     """UTF-8 bytes as text, without a character that is cut off at the end."""
     return F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(data.cast("string"))), "\ufffd+$", "")
+
+
+def is_document(name: Column, kind: Column) -> Column:
+    """Whether an upload is a document by its name or its media type."""
+    return F.coalesce(name.rlike(r"(?i)\.pdf$"), F.lit(False)) | F.coalesce(kind == "application/pdf", F.lit(False))

@@ -75,3 +75,10 @@ def scan_resolution(pages: DataFrame, book: str, order: str, samples: int = 9) -
     sorted_ = F.array_sort(F.collect_list("ppi"))
     median = F.element_at(sorted_, (whole(F.count("*"), 2) + 1).cast("int"))
     return seen.groupBy(book).agg(F.when(F.bool_and("scan"), F.round(F.least(F.greatest(median, F.lit(72.0)), F.lit(600.0)))).cast("long").alias("ppi"))
+
+
+def scanned(objects: DataFrame, page: list[str], share: float = 0.9) -> DataFrame:
+    """objects(page, kind: image or text, area, page_area) -> page, scan: whether one image and no text fills most of the page."""
+    images = F.count_if(F.col("kind") == "image")
+    filled = F.sum(F.when(F.col("kind") == "image", F.col("area"))) >= share * F.max("page_area")
+    return objects.groupBy(*page).agg(F.coalesce((images == 1) & (F.count_if(F.col("kind") == "text") == 0) & filled, F.lit(False)).alias("scan"))

@@ -553,3 +553,32 @@ def screen_fills(spark, sf_dir):
     """How much of an upright screen each page fills, and whether to turn it."""
     fill = S.screen_fill(400 + F.col("l_partkey") % 900, 300 + F.col("l_suppkey") * 37 % 1200, F.lit(1072), F.lit(1448))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fill["fill"].alias("fill"), fill["turn"].alias("turn"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, CASE WHEN l_partkey % 9 = 0 THEN 'text' ELSE 'image' END AS kind, CAST(60 + l_suppkey % 60 AS DOUBLE) AS area FROM lineitem WHERE l_linenumber <= 1 + l_orderkey % 3)
+SELECT l_orderkey AS page_no, count(*) FILTER (kind = 'image') = 1 AND count(*) FILTER (kind = 'text') = 0 AND coalesce(sum(area) FILTER (kind = 'image'), 0) >= 0.9::DOUBLE * 100 AS scan FROM o GROUP BY l_orderkey""")
+def scan_pages(spark, sf_dir):
+    """pages that are one image."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 1 + l_orderkey % 3")
+    objects = rows.select(F.col("l_orderkey").alias("page_no"), F.when(F.col("l_partkey") % 9 == 0, "text").otherwise("image").alias("kind"), (F.col("l_suppkey") % 60 + 60).cast("double").alias("area"), F.lit(100.0).alias("page_area"))
+    return geometry.scanned(objects, ["page_no"])
+
+
+@query("""SELECT state, count(*) AS n FROM (SELECT arg_max(event_type, event_id) AS state FROM events GROUP BY user_id) GROUP BY state""")
+def job_state_counts(spark, sf_dir):
+    """Jobs by their newest state."""
+    from quire.streaming import jobs
+
+    return jobs.state_counts(jobs.latest(table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state")), ["state"]))
+
+
+@query("""SELECT event_id, 'event: job' || chr(10) || 'data: {"id":' || CAST(user_id AS VARCHAR) || ',"state":"' || event_type || '","range":"1-' || CAST(event_id % 9 AS VARCHAR) || '"}' || chr(10) || chr(10) AS text,
+ event_id % 3 = 0 OR event_id % 4 = 1 AS taken FROM events""")
+def job_events_text(spark, sf_dir):
+    """Views as server-sent events, uploads that are taken."""
+    from quire.streaming import jobs
+
+    e = F.col("event_id")
+    view = F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("state"), F.concat(F.lit("1-"), (e % 9).cast("string")).alias("range"))
+    name, kind = F.when(e % 3 == 0, "a.b.PDF").when(e % 3 == 1, "pdf").otherwise(None), F.when(e % 4 == 1, "application/pdf").when(e % 4 == 2, "text/plain")
+    return table(spark, sf_dir, "events").select("event_id", jobs.event_text("job", view).alias("text"), S.is_document(name, kind).alias("taken"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The states, and where each may go.
@@ -45,3 +45,13 @@ def follow(updates: DataFrame, throttle_ms: int = 100) -> DataFrame:
         yield pd.DataFrame(out, columns=["job_id", "seq", "state"])
 
     return updates.groupBy("job_id").applyInPandasWithState(step, "job_id long, seq long, state string", "seq long, state string, sent long", "append", GroupStateTimeout.NoTimeout)
+
+
+def state_counts(views: DataFrame) -> DataFrame:
+    """Jobs in each state."""
+    return views.groupBy("state").agg(F.count("*").alias("n"))
+
+
+def event_text(event: str, value: Column) -> Column:
+    """A struct as one server-sent event: its name, its value as JSON, an empty line."""
+    return F.concat(F.lit(f"event: {event}\ndata: "), F.to_json(value), F.lit("\n\n"))

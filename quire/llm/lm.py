@@ -30,7 +30,6 @@ one for one. Without training texts, all scores are 0. An empty table gives no r
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache

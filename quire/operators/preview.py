@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.paths import resolved
 from quire.functions.scalars import normal_space, viewport_size
-from quire.plans.package_rules import DOC, OPS, Tables, attr, beneath, filled, tokens
+from quire.plans.package_rules import DOC, OPS, Tables, attr, beneath, filled
 
 XLINK = "http://www.w3.org/1999/xlink"
 

@@ -4,12 +4,14 @@ import random
 import re
 import time
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.functions import paths
 from quire.functions import scalars as S
 from quire.operators import blocks, entropy, geometry, links
@@ -150,3 +152,13 @@ def test_job_stream(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.table("followed").collect())
     assert got == [(1, 1, "inspecting"), (1, 2, "ready"), (1, 5, "queued"), (1, 6, "converting"), (1, 8, "converting"), (2, 1, "inspecting")]
     assert {(r.job_id, r.seq, r.state) for r in jobs.latest(df, ["state"]).collect()} == {(1, 8, "converting"), (2, 1, "inspecting")}
+
+
+@pytest.mark.parametrize("master", ["spark://a:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_must_name_its_shared_folder(master):
+    conf = {}
+    session_ = SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(session_, "x")
+    conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert session.shared_dir(session_, "x").startswith("hdfs:///shared/quire-app/x-")

@@ -41,36 +41,35 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import files_of, read_file, shared_dir, split_of, stored, write_file
 from quire.llm.eliasfano import Sequence, encode
-from quire.llm.words import HASHES
+from quire.llm.words import HASHES, hashed
 
 PRIOR = 5.0
 HASHED = 1 << 63
 START, END = (int(HASHES[w]) >> 1 for w in (b"  ", b" "))  # no word holds a space
-TOKENS = 1_000_000  # of a batch that is scored or counted at once
+BYTES = 6_000_000  # characters of texts that are scored or counted at once: about a million tokens
 CUTS = 8  # parts into which order 3 cuts a shard's share of a frequent context, so that shards are alike
 PENDING = 3_000_000  # distinct counts that a task holds before it passes them on
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a whole text's words and the end token."""
-    words = (text or "").encode().lower().split()
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)) >> np.uint64(1)
-    return np.append(h, np.uint64(END))
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of whole texts' words, each text with the end token, joined end to end; and the tokens of each text."""
+    h, n = hashed([(x or "").encode() for x in texts])
+    return np.insert(h >> np.uint64(1), np.cumsum(n), np.uint64(END)), n + 1
 
 
-def by_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(rows without text, tokens of each) in groups of about TOKENS tokens; text is the last column."""
+def by_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(rows without text, their tokens joined end to end, the tokens of each) in groups of about BYTES of text; text is the last column."""
     rows, held, size = [], [], 0
     for batch in batches:
         for *rest, text in zip(*batch.columns, strict=True):
             rows.append([x.as_py() for x in rest])
-            held.append(tokens(text.as_py()))
-            size += len(held[-1])
-            if size >= TOKENS:
-                yield rows, held
+            held.append(text.as_py())
+            size += len(held[-1] or "") + 1
+            if size >= BYTES:
+                yield rows, *tokens(held)
                 rows, held, size = [], [], 0
     if rows:
-        yield rows, held
+        yield rows, *tokens(held)
 
 
 def pairs_of(u: np.ndarray, v: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
@@ -206,8 +205,8 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> Words:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for _, held in by_tokens(batches):
-            a, b = np.unique(np.concatenate(held), return_counts=True)
+        for _, held, _ in by_tokens(batches):
+            a, b = np.unique(held, return_counts=True)
             h, at = np.unique(np.concatenate([h, a]), return_inverse=True)
             n = np.bincount(at, np.concatenate([n, b])).astype(np.int64)
             if len(h) > PENDING:
@@ -236,12 +235,12 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> Words:
     return Words(folder, sizes, sum(r["tokens"] for r in rows), sum(r["docs"] for r in rows), once / (once + 2 * twice) if once and twice else 0.5, max((r["most"] for r in rows), default=0))
 
 
-def _known(words: Words, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _known(words: Words, held: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts joined end to end: word ids and counts, context ids (V at a start, -1 unknown) and counts, and text ends."""
-    h, inverse = np.unique(np.concatenate(held), return_inverse=True)
+    h, inverse = np.unique(held, return_inverse=True)
     ids, counts = words.find(h)
     ids, counts = ids[inverse], counts[inverse]
-    ends = np.cumsum([len(x) for x in held])
+    ends = np.cumsum(sizes)
     before, before_counts = np.roll(ids, 1), np.roll(counts, 1)
     starts = np.append(0, ends[:-1])
     before[starts], before_counts[starts] = words.count, words.docs
@@ -266,8 +265,8 @@ def count_pairs(texts: DataFrame, words: Words, order: int = 2) -> None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_rows = [np.zeros(0, np.int64)] * 5
-        for _, held in by_tokens(batches):
-            ids, _, before, counts, ends = _known(words, held)
+        for _, held, sizes in by_tokens(batches):
+            ids, _, before, counts, ends = _known(words, held, sizes)
             u, v, n, inverse = pairs_of(before, ids)
             own = np.zeros(len(u), np.int64)
             own[inverse] = counts
@@ -367,9 +366,9 @@ def scored(docs: DataFrame, words: Words, order: int = 2) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, held in by_tokens(batches):
+        for rows, held, sizes in by_tokens(batches):
             if words.total:
-                ids, counts, before, before_counts, ends = _known(words, held)
+                ids, counts, before, before_counts, ends = _known(words, held, sizes)
                 base = np.log10((counts + 1) / (words.total + words.count + 1))
                 p = words.own(counts)
                 after = np.flatnonzero(before >= 0)
@@ -392,9 +391,9 @@ def scored(docs: DataFrame, words: Words, order: int = 2) -> DataFrame:
                 sums = lambda x: np.add.reduceat(x, np.append(0, ends[:-1]))
                 columns = [sums((counts > 0).astype(np.int64)), sums(base), sums(np.log10(p))]
             else:
-                columns = [np.zeros(len(held), np.int64), np.zeros(len(held)), np.zeros(len(held))]
+                columns = [np.zeros(len(rows), np.int64), np.zeros(len(rows)), np.zeros(len(rows))]
             ids, out = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array([len(x) for x in held], pa.int64()), *map(pa.array, columns)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(sizes, pa.int64()), *map(pa.array, columns)], schema=schema)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 

@@ -7,11 +7,21 @@ import pytest
 
 from quire.llm import decontaminate, langid, lm, quality
 from quire.llm.eliasfano import Sequence, encode
+from quire.llm.words import hashed
 from tests.llm.fixtures import crc, documents, empty, rows
 
 DATA = "/root/testdata/sf0.01"
 
 
+def test_words_of_many_texts_have_one_hash_each():
+    texts = ["", " \t\n", "Aa aA\x0b\x0c aa\r", "a" * 8, "a" * 7 + " " + "a" * 9, "a" * 64 + " " + "a" * 65, "\0 \0\0", "É é\x1c", "x" * 200 + " b", " b"]
+    h, n = hashed([t.encode() for t in texts])
+    words = [w for t in texts for w in t.encode().lower().split()]
+    assert n.tolist() == [len(t.encode().split()) for t in texts] and len(h) == len(words)
+    assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+    assert [x.tolist() for x in hashed([])] == [[], []]
+
+
 @pytest.mark.parametrize("universe,n", [(100, 50), (1 << 40, 1000), (5000, 4999), (1 << 63, 2000), (10, 1), (7, 30)])
 def test_elias_fano(universe, n):
     r = np.random.default_rng(universe % 97)
